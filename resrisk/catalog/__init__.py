@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLE, QUERIES
 
-GROUPS = ["sources", "ordering", "evaluation"]
+GROUPS = ["sources", "ordering", "evaluation", "analytics", "monitoring"]
 
 
 def _load() -> None:

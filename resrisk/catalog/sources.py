@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import clean, rules
-from ..operators import ordering
+from ..operators import ordering, stats
 from ..session import shared_folder
 from ..sources import bookings as src
 from ..sources import prediction_log as log
@@ -40,7 +40,7 @@ FROM bookings GROUP BY 1, 2"""
 
 def _scan_csv(spark, sf):
     path = _scratch(spark, "bookings-csv")
-    bookings(spark, sf).drop(*KEYS, "booking_date").write.option("header", True).csv(path)
+    bookings(spark, sf).drop(*KEYS, "booking_date", "ship_day").write.option("header", True).csv(path)
     return per_hotel(src.scan_csv(spark, path))
 
 
@@ -404,7 +404,7 @@ register("c15_value_map",
 SELECT CASE meal WHEN 'ECONOMY' THEN 'BB' WHEN 'STANDARD' THEN 'HB' WHEN 'PROMO' THEN 'FB'
   ELSE meal END AS meal, count(*) AS n FROM bookings GROUP BY 1"""))
 register("c16_clip_to_quantile",
-         lambda spark, sf: clean.clip_to_quantile(cleaned(spark, sf), "adr").agg(
+         lambda spark, sf: stats.clip_to_quantile(cleaned(spark, sf), "adr").agg(
              F.max("clipped").alias("cap"), F.avg("clipped").alias("mean_clipped"),
              F.avg("adr").alias("mean_adr"), F.count("clipped").alias("n")),
          with_ctes(CLEAN, body="""

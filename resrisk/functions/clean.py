@@ -192,12 +192,6 @@ def missingness_profile(df: DataFrame) -> DataFrame:
     ])))
 
 
-def clip_to_quantile(df: DataFrame, col: str, q: float = 0.99, name: str = "clipped") -> DataFrame:
-    """Cap values at a quantile of the column."""
-    cap = df.agg(F.percentile(col, q).alias("cap")).scalar()
-    return df.withColumn(name, F.when(F.col(col).isNotNull(), F.least(F.col(col), cap)))
-
-
 def booking_value(adr: Column, nights: Column) -> Column:
     return adr * F.greatest(F.lit(1.0), nights)
 

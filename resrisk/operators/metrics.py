@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import running_sums, slice_of
+from .ordering import exact_quantiles, quantile_columns, running_sums, slice_of
 
 Y, P = "is_canceled", "cancel_probability"
 
@@ -154,8 +154,8 @@ def ece(df: DataFrame, by: Sequence[str] = (), bins: int = 10, closed_last: bool
 
 def reliability_quantile(df: DataFrame, bins: int = 10, y: str = Y, p: str = P) -> DataFrame:
     """Mean prediction and observed rate per quantile bin; empty bins are left out."""
-    at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = df.agg(F.percentile(p, at).alias("edges")).first()["edges"] or []
+    rows = exact_quantiles(df, p, [i / bins for i in range(1, bins)]).collect()
+    edges = [r["value"] for r in rows]
     bin_of = sum(((F.col(p) > e).cast("int") for e in edges), F.lit(0))
     return df.groupBy(bin_of.cast("bigint").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_pred"), F.avg(y).alias("frac_pos"))
@@ -203,13 +203,18 @@ def outcome_profile(df: DataFrame, t: float, features: Sequence[str]) -> DataFra
 
 
 def regression_metrics(df: DataFrame, actual: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    a, e = F.col(actual), F.col(actual) - F.col(pred)
-    return df.filter(a.isNotNull() & F.col(pred).isNotNull()).groupBy(*by).agg(
+    a, e = F.col(actual), F.col("_e")
+    known = df.filter(a.isNotNull() & F.col(pred).isNotNull()).withColumn(
+        "_e", a - F.col(pred)).select(*by, actual, "_e")
+    out = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
         (1 - F.try_divide(F.sum(e * e), F.var_pop(actual) * F.count(F.lit(1)))).alias("r2"),
         (100 * F.avg(F.abs(F.try_divide(e, a)))).alias("mape"),
-        F.avg(e).alias("resid_mean"), F.percentile(e, 0.5).alias("resid_median"),
-        F.stddev_samp(e).alias("resid_std"),
+        F.avg(e).alias("resid_mean"), F.stddev_samp(e).alias("resid_std"),
         F.avg((F.abs(e) <= 25).cast("double")).alias("within_25"),
         F.avg((F.abs(e) <= 50).cast("double")).alias("within_50"))
+    middle = quantile_columns(known, "_e", {"resid_median": 0.5}, by)
+    if by:
+        return out.join(middle, list(by))
+    return out.withColumn("resid_median", middle.scalar())

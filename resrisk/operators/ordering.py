@@ -55,41 +55,108 @@ def running_sums(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Add inclusive running totals along ``order`` (which must be unique within ``by``)."""
+    return _running(df, order, sums, levels, by, F.sum,
+                    lambda parts: reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), parts))
+
+
+def running_max(
+    df: DataFrame,
+    order: Sequence[Column],
+    values: dict[str, Column],
+    levels: Sequence[Column],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Add inclusive running maxima along ``order``."""
+    return _running(df, order, values, levels, by, F.max,
+                    lambda parts: F.greatest(*parts) if len(parts) > 1 else parts[0])
+
+
+def _running(df, order, values, levels, by, agg, combine) -> DataFrame:
     by = list(by)
     names = [f"_lv{i}" for i in range(len(levels))]
     base = df.withColumns(dict(zip(names, levels)))
     keys = by + names
     leaf = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = base.withColumns({f"_in_{n}": F.sum(c).over(leaf) for n, c in sums.items()})
+    inner = base.withColumns({f"_in_{n}": agg(c).over(leaf) for n, c in values.items()})
 
-    totals = base.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    totals = base.groupBy(*keys).agg(*[agg(c).alias(n) for n, c in values.items()])
     offsets = None
     for depth in range(len(names), 0, -1):
-        parent = by + names[: depth - 1]
-        here = by + names[:depth]
+        parent, here = by + names[: depth - 1], by + names[:depth]
         level = totals if depth == len(names) else totals.groupBy(*here).agg(
-            *[F.sum(n).alias(n) for n in sums])
+            *[agg(n).alias(n) for n in values])
         before = (
             Window.partitionBy(*parent)
             .orderBy(names[depth - 1])
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        part = level.select(
-            *here,
-            *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off{depth}_{n}") for n in sums],
-        )
+        part = level.select(*here, *[agg(n).over(before).alias(f"_off{depth}_{n}")
+                                     for n in values])
         offsets = part if offsets is None else offsets.join(part, here)
     depths = range(1, len(names) + 1)
     return inner.join(offsets, keys).select(
         *df.columns,
-        *[
-            reduce(lambda a, b: a + b, [F.col(f"_off{d}_{n}") for d in depths], F.col(f"_in_{n}"))
-            .alias(n)
-            for n in sums
-        ],
+        *[combine([F.col(f"_in_{n}"), *[F.col(f"_off{d}_{n}") for d in depths]]).alias(n)
+          for n in values],
     )
 
 
+def with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The grouping columns, or a constant one for the whole table."""
+    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
+
+
+def with_value_levels(counts: DataFrame, value: str, by: Sequence[str], **totals: Column
+                      ) -> DataFrame:
+    """Add ``_slice``, the slice of a value within its group's range, and group totals."""
+    facts = counts.groupBy(*by).agg(
+        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"),
+        *[c.alias(n) for n, c in totals.items()])
+    span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    unit = F.coalesce((F.col(value).cast("double") - F.col("_lo")) / span, F.lit(0.0))
+    return counts.join(facts, list(by)).withColumn("_slice", slice_of(unit)).drop("_lo", "_hi")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
+                    ) -> DataFrame:
+    """Exact quantiles (linear interpolation) as rows (by, prob, value).
+
+    The built-in exact percentile keeps all distinct values of a group in one task.  Here distinct
+    values are counted, ordered slice by slice, and only those at the wanted ranks are kept.
+    """
+    df, keys = with_group(df, by)
+    counts = (
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    placed = with_value_levels(counts, "v", keys, _total=F.sum("n"))
+    ranked = running_sums(placed, [F.asc("v")], {"_cum": F.col("n")}, [F.col("_slice")], keys)
+    rank = lambda p: F.lit(float(p)) * (F.col("_total") - 1)
+    wanted = F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), F.floor(rank(p)).alias("low"),
+                 (rank(p) - F.floor(rank(p))).alias("part")) for p in probs
+    ])
+    holds = lambda r: (r >= F.col("_cum") - F.col("n")) & (r < F.col("_cum"))
+    hits = ranked.select(*keys, "v", "n", "_cum", F.inline(wanted)).select(
+        *keys, "prob", "part",
+        F.when(holds(F.col("low")), F.col("v")).alias("a"),
+        F.when(holds(F.col("low") + 1), F.col("v")).alias("b"),
+    ).filter("a IS NOT NULL OR b IS NOT NULL")
+    low, high = F.max("a"), F.coalesce(F.max("b"), F.max("a"))
+    return hits.groupBy(*keys, "prob").agg(
+        (low + F.max("part") * (high - low)).alias("value")
+    ).select(*by, "prob", "value")
+
+
+def quantile_columns(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
+                     ) -> DataFrame:
+    """Exact quantiles as one row per group with a column per quantile."""
+    rows = exact_quantiles(df, value, list(probs.values()), by)
+    return rows.groupBy(*by).agg(*[
+        F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(n) for n, p in probs.items()
+    ])
+
+
 def global_position(
     df: DataFrame, day: str, keys: Sequence[str], by: Sequence[str] = (), name: str = "position",
     span: tuple[float, float] | None = None,

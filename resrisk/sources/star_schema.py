@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..functions.clean import month_number
 from ..functions.rules import risk_tier
 from ..operators.cost import fn_cost
 
@@ -60,7 +59,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("order_key"), line.alias("line_no"),
         F.col("l_partkey").alias("part_key"), supp.alias("supp_key"),
         F.col("l_extendedprice").alias("list_price"),
-        F.to_date("o_orderdate").alias("booking_date"),
+        F.to_date("o_orderdate").alias("booking_date"), ship.alias("ship_day"),
         F.when(F.col("l_linestatus") == "O", "City Hotel").otherwise("Resort Hotel").alias("hotel"),
         (F.abs(F.datediff(ship, F.to_date("o_orderdate"))) % 400).alias("lead_time"),
         F.year(ship).alias("arrival_date_year"),
@@ -185,14 +184,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring requests: bookings with the defects a caller might send."""
     b = bookings(spark, sf_dir)
     key, month = F.col("order_key"), F.col("arrival_date_month")
-    date = F.try_to_date(F.concat_ws(
-        "-", "arrival_date_year", month_number(month), "arrival_date_day_of_month"), "yyyy-M-d")
-    return b.drop("is_canceled", "booking_date").withColumns({
-        "arrival_date": F.when(key % 2 == 0, date),
+    return b.withColumns({
+        "arrival_date": F.when(key % 2 == 0, F.col("ship_day")),
         "arrival_date_year": F.when(key % 50 == 0, F.col("arrival_date_year") + 1)
         .when(key % 7 == 0, F.lit(None)).otherwise(F.col("arrival_date_year")),
         "arrival_date_month": F.when(key % 3 == 0, F.substring(month, 1, 3))
         .when(key % 41 == 0, "Smarch").otherwise(month),
         "lead_time": F.when(key % 31 == 0, -F.col("lead_time") - 1).otherwise(F.col("lead_time")),
         "hotel": F.when(key % 61 != 0, F.col("hotel")),
-    })
+    }).drop("is_canceled", "booking_date", "ship_day")
