@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLE, QUERIES
 
-GROUPS = ["sources", "ordering", "evaluation", "analytics", "monitoring"]
+GROUPS = ["sources", "ordering", "evaluation", "analytics", "monitoring", "modelling"]
 
 
 def _load() -> None:

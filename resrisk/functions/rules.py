@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import written_table
 from .clean import month_name, month_number
 
 # Fixed values: (column, lowest, highest, required) of the request contract.
@@ -212,7 +213,10 @@ def request_reasons(df: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
 
 
 def split_requests(df: DataFrame, ids: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Valid requests, and the rejected ones with their reasons."""
-    judged = request_reasons(df, ids)
+    """Valid requests, and the rejected ones with their reasons.
+
+    The judged rows are written once, as both results read them.
+    """
+    judged = written_table(request_reasons(df, ids), "judged-requests")
     ok = F.size("reasons") == 0
     return judged.filter(ok).drop("reasons"), judged.filter(~ok)

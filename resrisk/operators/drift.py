@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import written_table
 from .metrics import P, Y, ece, uniform_bin
 from .ordering import exact_quantiles, running_sums, unpivot, with_value_levels
 
@@ -75,11 +76,16 @@ def psi_numeric(long: DataFrame, by: Sequence[str] = ("feature",), bins: int = 1
     """PSI on deciles of the baseline; a value on an edge belongs to the bin on its right."""
     by = list(by)
     probs = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(long.filter(F.col(LIVE) == 0), "value", probs, by).groupBy(*by).agg(
-        F.collect_list("value").alias("edges"))
-    binned = long.join(F.broadcast(edges), by).withColumn(
+    # Edges and bins both need only the counts per distinct value: written once, read twice.
+    counts = written_table(_counts(long, by, "value"), "value-counts")
+    edges = exact_quantiles(
+        counts.filter("n_base > 0"), "value", probs, by, "n_base"
+    ).groupBy(*by).agg(F.collect_list("value").alias("edges"))
+    bins_of = counts.join(F.broadcast(edges), by).withColumn(
         "bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))).cast("bigint"))
-    return _psi_from_bins(_counts(binned, by, "bin"), by, bins, None)
+    binned = bins_of.groupBy(*by, "bin").agg(
+        F.sum("n_base").alias("n_base"), F.sum("n_live").alias("n_live"))
+    return _psi_from_bins(binned, by, bins, None)
 
 
 def psi_uniform(long: DataFrame, by: Sequence[str] = ("feature",), bins: int = 10) -> DataFrame:

@@ -117,17 +117,19 @@ def with_value_levels(counts: DataFrame, value: str, by: Sequence[str], **totals
     return counts.join(facts, list(by)).withColumn("_slice", slice_of(unit)).drop("_lo", "_hi")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
-                    ) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                    weight: str | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) as rows (by, prob, value).
 
+    With ``weight`` each row stands for that many equal ones.
+
     The built-in exact percentile keeps all distinct values of a group in one task.  Here distinct
     values are counted, ordered slice by slice, and only those at the wanted ranks are kept.
     """
     df, keys = with_group(df, by)
     counts = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     )
     placed = with_value_levels(counts, "v", keys, _total=F.sum("n"))
     ranked = running_sums(placed, [F.asc("v")], {"_cum": F.col("n")}, [F.col("_slice")], keys)
