@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier,
@@ -16,6 +18,7 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..operators.metrics import P, Y, auc_columns, auc_metrics, brier, descending_totals, ece
 from ..operators.ordering import unpivot
@@ -251,10 +254,6 @@ def poisson_draws(seed: int, replicates: int):
     A row of a bootstrap sample is drawn Poisson(1) times, so a group of n rows Poisson(n) times.
     The generator is seeded by the group's own value: a repeated task draws the same counts.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, LongType
-
     @F.pandas_udf(ArrayType(LongType()))
     def draw(key: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([
