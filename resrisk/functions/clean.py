@@ -34,8 +34,14 @@ def month_name(number: Column) -> Column:
 
 
 def arrival_date(year: Column, month: Column, day: Column) -> Column:
-    """Date from (year, month name, day); impossible dates become null."""
-    return F.try_to_date(F.concat_ws("-", year, month_number(month), day), "yyyy-M-d")
+    """Date from (year, month name, day); impossible dates become null.
+
+    Built by day arithmetic, which is far cheaper per row than parsing text.
+    """
+    y, m, d = year.try_cast("int"), month_number(month), day.try_cast("int")
+    first = F.make_date(F.when(y.between(1, 9999), y), m, F.lit(1))
+    date = F.date_add(first, d - 1)
+    return F.when((d >= 1) & (d <= 31) & (F.month(date) == m), date)
 
 
 def value_map(c: Column, mapping: dict[str, str], default: Column | None = None) -> Column:
