@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written by `written_table` and not yet dropped: path -> label.
+_WRITTEN: dict[str, str] = {}
+
 
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
-    return (
+    """A single-JVM session for tests and the bench, with a scratch folder of its own.
+
+    A folder that the machine's Spark defaults name is kept.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("resrisk")
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -18,24 +25,68 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        use_folder(spark, tempfile.mkdtemp(prefix="resrisk-"))
+    return spark
+
+
+#: Folders given by `use_folder`, by application.
+_FOLDERS: dict[str, str] = {}
+
+
+def use_folder(spark: SparkSession, folder: str) -> None:
+    """Name the shared scratch folder of a session whose settings name none."""
+    _FOLDERS[spark.sparkContext.applicationId] = folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The scratch folder that driver and executors share.
+
+    It is the session's `spark.checkpoint.dir`, or the folder given to `use_folder`. There is
+    no default: a folder of one machine would lose the parts that other executors write.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _FOLDERS.get(
+        spark.sparkContext.applicationId)
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "resrisk-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        raise ValueError(
+            "no shared scratch folder: set spark.checkpoint.dir or call resrisk.session.use_folder")
+    return folder.rstrip("/")
+
+
+@contextmanager
+def transient_shuffles(spark: SparkSession):
+    """Inside, the shuffle files of an action go as soon as the action ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def written_table(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading the table back.
 
-    Unlike a cached frame the table outlives any executor.
+    Unlike a cached frame the table outlives any executor. `drop_written` removes it.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    with transient_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN[path] = label
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, *tables: DataFrame, prefix: str | None = None) -> None:
+    """Remove written tables: those given, or all whose label starts with `prefix`."""
+    names = [p for t in tables for p in _WRITTEN if any(p in f for f in t.inputFiles()[:1])]
+    if prefix is not None:
+        names += [p for p, label in _WRITTEN.items() if label.startswith(prefix)]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in dict.fromkeys(names):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+        _WRITTEN.pop(name, None)
