@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..session import written_table
 
-WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "[#*$%&|<>]"
+#: ASCII white space and capitals, listed one by one: such classes are table look-ups in Java.
+SPACE = r"[ \t\n\x0B\f\r]+"
+WORD = r"[^ \t\n\x0B\f\r]"
+CAPITALS = "[ABCDEFGHIJKLMNOPQRSTUVWXYZ]+"
+SYMBOLS = "[#*$%&|<>]+"
 
 #: What rules may test: shares and sizes of a text, all computed by `text_statistics`.
 FEATURES = ["n_words", "mean_word_chars", "symbols_per_word", "dup_line_share", "repeat_share",
-            "distinct_share", "upper_share", "mark_share", "digit_share"]
+            "distinct_share", "upper_share"]
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -29,7 +32,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("_whole", whole).withColumn(
-        "_words", F.regexp_extract_all("_whole", F.lit(f"({WORD})"), F.lit(1)))
+        "_words", F.array_remove(F.split("_whole", SPACE), ""))
     n = F.size("_words").cast("long")
     lines = F.filter(F.split("_whole", "\n"), lambda x: x.rlike(WORD))
     rows = rows.withColumns({
@@ -38,16 +41,26 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": (F.length("_whole") - F.length(F.regexp_replace("_whole", SYMBOLS, ""))).cast("long"),
     })
-    # Windows by hash, in order of (hash, place): equal neighbours are windows found twice.
-    at = F.sequence(F.lit(0), F.size("_words") - 3)
-    windows = F.when(n >= 3, F.transform(at, lambda i: F.struct(
-        F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2]).alias("h"), i.alias("i"))))
-    rows = rows.withColumn("_windows", F.array_sort(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
+    # A window's key is its hash with the place in the low bits, so that a sort of plain numbers
+    # brings equal hashes together. What is left of the hash finds candidates; the few windows
+    # found are then compared by their whole hashes.
+    hash_at = lambda i: F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2])
+    places = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int") + 1)
+    rows = rows.withColumn("_mask", places - 1)
+    keys = F.when(n >= 3, F.sort_array(F.transform(
+        F.sequence(F.lit(0), F.size("_words") - 3),
+        lambda i: hash_at(i).bitwiseAND(F.bitwise_not("_mask")).bitwiseOR(i.cast("long")))))
+    rows = rows.withColumn("_keys", F.coalesce(keys, F.array().cast("array<bigint>")))
+    key = F.col("_keys")
+    same = lambda x, y: F.coalesce(x.bitwiseXOR(y) <= F.col("_mask"), F.lit(False)) & F.coalesce(x.bitwiseXOR(y) >= 0, F.lit(False))
+    alike = F.filter(key, lambda x, k: same(F.get(key, k + 1), x) | same(F.get(key, k - 1), x))
+    rows = rows.withColumn("_windows", F.sort_array(F.transform(alike, lambda x: F.struct(
+        hash_at(x.bitwiseAND(F.col("_mask")).cast("int")).alias("h"), x.bitwiseAND(F.col("_mask")).cast("int").alias("i")))))
     w = F.col("_windows")
     last = F.size(w) - 1
     twice = F.filter(w, lambda x, k: F.when(k > 0, F.get(w, k - 1)["h"] == x["h"]).otherwise(False)
                      | F.when(k < last, F.get(w, k + 1)["h"] == x["h"]).otherwise(False))
-    rows = rows.withColumn("_twice", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    rows = rows.withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x["i"])))
     t = F.col("_twice")
     # Each window covers three words, less those that the next one covers too.
     covered = F.aggregate(
@@ -59,18 +72,15 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     })
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     words = F.greatest(F.col("n_words"), F.lit(1))
-    without = lambda pattern: (F.length("_whole") - F.length(F.regexp_replace("_whole", pattern, ""))) / chars
     rows = rows.withColumns({
         "mean_word_chars": F.col("word_chars") / words,
         "symbols_per_word": F.col("n_symbols") / words,
         "dup_line_share": F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words,
         "distinct_share": F.size(F.array_distinct("_words")) / words,
-        "upper_share": without(r"[A-ZÀ-Þ]"),
-        "mark_share": without(r"[!-/:-@\[-`{-~]"),
-        "digit_share": without("[0-9]"),
+        "upper_share": (F.length("_whole") - F.length(F.regexp_replace("_whole", CAPITALS, ""))) / chars,
     })
-    return rows.drop("_whole", "_words", "_lines", "_windows", "_twice")
+    return rows.drop("_whole", "_words", "_lines", "_mask", "_keys", "_windows", "_twice")
 
 
 @dataclass(frozen=True)
