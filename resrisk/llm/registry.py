@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop_written
-from . import exact, mixing, quality, urls
+from . import exact, mixing, packing, quality, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +83,25 @@ FROM (SELECT doc_id, source, unnest(range(0, n)) AS i FROM found)""")
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return mixing.poisson_mix(docs, MIX_WEIGHTS, seed=MIX_SEED).select("doc_id", "source", "copy", "shuffle_key")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def ids_crc32(ids):
+    """CRC-32 of the ids as unsigned little-endian 32-bit numbers."""
+    @F.pandas_udf("bigint")
+    def crc(lists: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in lists], dtype="int64")
+    return crc(ids)
+
+
+@query("op1_best_fit_packing")
+def op1(spark, sf_dir):
+    # The digest is taken where the ids lie, so that only narrow rows meet the plan of the bins.
+    pieces = packing.written_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    narrow = pieces.withColumn("ids_crc32", ids_crc32("ids")).drop("ids")
+    return packing.place_pieces(narrow).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
