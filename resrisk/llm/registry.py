@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop_written
-from . import exact, mixing, packing, quality, urls
+from . import exact, mixing, packing, quality, suffix, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -105,3 +105,12 @@ def op1(spark, sf_dir):
     narrow = pieces.withColumn("ids_crc32", ids_crc32("ids")).drop("ids")
     return packing.place_pieces(narrow).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    cut = suffix.repeated_spans(table(spark, sf_dir, "documents"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return cut.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept_bytes")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
