@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop_written
-from . import exact, mixing, packing, quality, suffix, urls
+from . import bagminhash, exact, mixing, packing, quality, suffix, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,8 @@ def op6(spark, sf_dir):
     return cut.select(
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept_bytes")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query("op5_bagminhash_dedup")
+def op5(spark, sf_dir):
+    return bagminhash.near_classes(table(spark, sf_dir, "documents"))
