@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop_written
-from . import bagminhash, exact, mixing, packing, quality, suffix, urls
+from . import bagminhash, chat, exact, langid, mixing, packing, quality, suffix, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +119,20 @@ def op6(spark, sf_dir):
 @query("op5_bagminhash_dedup")
 def op5(spark, sf_dir):
     return bagminhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op4_language_codes")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.fit(docs.filter(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op8_prefix_chat")
+def op8(spark, sf_dir):
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.prefix_examples(turns.unionByName(extra)))
