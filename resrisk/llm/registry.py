@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop_written
-from . import bagminhash, chat, exact, langid, mixing, packing, quality, suffix, urls
+from . import bagminhash, chat, exact, html, langid, mixing, packing, quality, suffix, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,9 @@ def op8(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     return chat.read_back(chat.prefix_examples(turns.unionByName(extra)))
+
+
+@query("op10_style_tree_text")
+def op10(spark, sf_dir):
+    pages = html.extract_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
