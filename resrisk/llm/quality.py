@@ -16,6 +16,7 @@ WORD = r"[^ \t\n\x0B\f\r]"
 CAPITALS = "[ABCDEFGHIJKLMNOPQRSTUVWXYZ]+"
 SYMBOLS = "[#*$%&|<>]+"
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What rules may test: shares and sizes of a text, all computed by `text_statistics`.
 FEATURES = ["n_words", "mean_word_chars", "symbols_per_word", "dup_line_share", "repeat_share",
             "distinct_share", "upper_share"]
@@ -80,7 +81,12 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "distinct_share": F.size(F.array_distinct("_words")) / words,
         "upper_share": (F.length("_whole") - F.length(F.regexp_replace("_whole", CAPITALS, ""))) / chars,
     })
-    return rows.drop("_whole", "_words", "_lines", "_mask", "_keys", "_windows", "_twice")
+    # A generator stands between the expressions and what is built on them: a filter on a result
+    # would else be pushed below and have the word arrays computed anew for each of their elements.
+    out = [*COUNTS, *[f for f in FEATURES if f not in COUNTS]]
+    kept = [c for c in docs.columns if c not in out]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(F.struct(*out))).alias("_found")).select(
+        *[F.col(f"`{c}`") for c in kept], "_found.*")
 
 
 @dataclass(frozen=True)
