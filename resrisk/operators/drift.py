@@ -56,15 +56,17 @@ def _psi_from_bins(counts: DataFrame, by: Sequence[str], bins: int, eps_on_share
     totals = counts.groupBy(*by).agg(F.sum("n_base").alias("_b"), F.sum("n_live").alias("_l"))
     joined = filled.join(totals, list(by))
     if eps_on_share is None:
-        share = lambda n, total: (F.col(n) + F.lit(C.PSI_COUNT_EPS)) / F.col(total)
+        share = lambda n, total: F.try_divide(F.col(n) + F.lit(C.PSI_COUNT_EPS), F.col(total))
     else:
-        share = lambda n, total: F.greatest(F.col(n) / F.col(total), F.lit(eps_on_share))
-    return _psi_sum(joined.filter("_b > 0 AND _l > 0"), by, share)
+        share = lambda n, total: F.greatest(F.try_divide(F.col(n), F.col(total)), F.lit(eps_on_share))
+    return _psi_sum(joined, by, share)
 
 
 def _psi_sum(joined: DataFrame, by: Sequence[str], share) -> DataFrame:
+    """Sum over the bins; 0.0 where a side has no rows at all, so that no feature is lost."""
     b, l = share("n_base", "_b"), share("n_live", "_l")
-    return joined.groupBy(*by).agg(F.sum((l - b) * F.log(l / b)).alias("psi"))
+    term = F.when((F.col("_b") > 0) & (F.col("_l") > 0), (l - b) * F.log(l / b)).otherwise(0.0)
+    return joined.groupBy(*by).agg(F.sum(term).alias("psi"))
 
 
 def _counts(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
@@ -81,8 +83,11 @@ def psi_numeric(long: DataFrame, by: Sequence[str] = ("feature",), bins: int = 1
     edges = exact_quantiles(
         counts.filter("n_base > 0"), "value", probs, by, "n_base"
     ).groupBy(*by).agg(F.collect_list("value").alias("edges"))
-    bins_of = counts.join(F.broadcast(edges), by).withColumn(
-        "bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))).cast("bigint"))
+    # A feature without baseline has no edges; it stays, in the first bin.
+    edges = edges.withColumnsRenamed({c: f"_{c}" for c in by})
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    bins_of = counts.join(edges, on, "left").withColumn("bin", F.coalesce(F.size(F.filter(
+        "edges", lambda e: e <= F.col("value"))), F.lit(0)).cast("bigint"))
     binned = bins_of.groupBy(*by, "bin").agg(
         F.sum("n_base").alias("n_base"), F.sum("n_live").alias("n_live"))
     return _psi_from_bins(binned, by, bins, None)
@@ -99,23 +104,28 @@ def psi_categorical(long: DataFrame, by: Sequence[str] = ("feature",)) -> DataFr
     by = list(by)
     counts = _counts(long, by, "value")
     totals = counts.groupBy(*by).agg(F.sum("n_base").alias("_b"), F.sum("n_live").alias("_l"))
-    share = lambda n, total: F.col(n) / F.col(total) + F.lit(C.PSI_SHARE_EPS)
-    return _psi_sum(counts.join(totals, by).filter("_b > 0 AND _l > 0"), by, share)
+    share = lambda n, total: F.try_divide(F.col(n), F.col(total)) + F.lit(C.PSI_SHARE_EPS)
+    return _psi_sum(counts.join(totals, by), by, share)
 
 
 def drift_report(baseline: DataFrame, live: DataFrame, numeric: Sequence[str],
                  categorical: Sequence[str], min_rows: int = 10) -> DataFrame:
     """PSI and zone of every feature, worst first; too few live rows give an error."""
-    n_live, n_base = live.count(), baseline.count()
-    if n_live < min_rows:
-        raise ValueError(f"only {n_live} live rows, need {min_rows}")
     cols = [*numeric, *categorical]
     both = mark_live(baseline.select(*cols), live.select(*cols))
+    n_live, n_base = both.agg(F.count_if(F.col(LIVE) == 1), F.count_if(F.col(LIVE) == 0)).first()
+    if n_live < min_rows:
+        raise ValueError(f"only {n_live} live rows, need {min_rows}")
     # Missing categories count as a value of their own in this report.
     texts = both.fillna("missing", subset=[c for c in categorical])
     rows = psi_numeric(long_numeric(both, numeric)).withColumn("kind", F.lit("numeric")).unionByName(
         psi_categorical(long_categorical(texts, categorical)).withColumn(
             "kind", F.lit("categorical")))
+    # A feature whose values are null on both sides has no counts, but a row in the report.
+    names = both.sparkSession.createDataFrame(
+        [*((c, "numeric") for c in numeric), *((c, "categorical") for c in categorical)],
+        "feature string, kind string")
+    rows = names.join(rows, ["feature", "kind"], "left").fillna({"psi": 0.0})
     return rows.select(
         "feature", "kind", F.round("psi", 6).alias("psi"), psi_zone(F.col("psi")).alias("zone"),
         F.lit(n_live).cast("bigint").alias("n_live"),
@@ -155,22 +165,22 @@ def drift_matrix(rows: DataFrame, batches: Sequence[str]) -> DataFrame:
 def ks_two_sample(long: DataFrame, by: Sequence[str] = ("feature",), terms: int = 100) -> DataFrame:
     """Largest distance of the two distribution functions, and its asymptotic p-value.
 
-    Distinct values are counted first, then summed along their order slice by slice.
+    A feature with rows on one side only keeps its row, with null results. Distinct values are counted first, then summed along their order slice by slice.
     """
     by = list(by)
     counts = _counts(long, by, "value")
     placed = with_value_levels(counts, "value", by, _b=F.sum("n_base"), _l=F.sum("n_live"))
     cum = running_sums(placed, [F.asc("value")],
                        {"cum_b": F.col("n_base"), "cum_l": F.col("n_live")}, [F.col("_slice")], by)
-    gap = F.abs(F.col("cum_b") / F.col("_b") - F.col("cum_l") / F.col("_l"))
-    out = cum.filter("_b > 0 AND _l > 0").groupBy(*by).agg(
+    gap = F.abs(F.try_divide("cum_b", "_b") - F.try_divide("cum_l", "_l"))
+    out = cum.groupBy(*by).agg(
         F.max(gap).alias("ks"), F.max("_b").alias("n_base"), F.max("_l").alias("n_live"))
-    size = F.col("n_base") * F.col("n_live") / (F.col("n_base") + F.col("n_live"))
+    size = F.try_divide(F.col("n_base") * F.col("n_live"), F.col("n_base") + F.col("n_live"))
     lam2 = F.col("ks") * F.col("ks") * size
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
         lambda acc, j: acc + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * j * j * lam2))
-    p = F.when(lam2 < 0.04, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
+    p = F.when(F.col("ks").isNull(), F.lit(None)).when(lam2 < 0.04, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
     return out.withColumn("p_value", p).withColumn("status", p_value_status(F.col("p_value")))
 
 

@@ -101,20 +101,36 @@ def _running(df, order, values, levels, by, agg, combine) -> DataFrame:
     )
 
 
-def with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """The grouping columns, or a constant one for the whole table."""
-    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
+#: Slices of a value's range: so many coarse ones, each cut into so many fine ones.
+COARSE = FINE = 32
 
 
 def with_value_levels(counts: DataFrame, value: str, by: Sequence[str], **totals: Column
                       ) -> DataFrame:
-    """Add ``_slice``, the slice of a value within its group's range, and group totals."""
-    facts = counts.groupBy(*by).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"),
+    """Add ``_slice``, the slice of a value among those of its group, and group totals.
+
+    Slices lie between approximate quantiles of the rows of ``counts``, so that outliers do not
+    crowd the rest into one slice. Without groups the facts are a scalar and need no join.
+    """
+    by = list(by)
+    cuts = [i / (COARSE * FINE) for i in range(COARSE * FINE)]
+    facts = F.struct(
+        F.percentile_approx(F.col(value).cast("double"), cuts, 20_000).alias("edges"),
         *[c.alias(n) for n, c in totals.items()])
-    span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    unit = F.coalesce((F.col(value).cast("double") - F.col("_lo")) / span, F.lit(0.0))
-    return counts.join(facts, list(by)).withColumn("_slice", slice_of(unit)).drop("_lo", "_hi")
+    if by:
+        # A null-safe join, as a group may be null.
+        of = counts.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(facts.alias("_facts"))
+        known = counts.join(of, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]).drop(
+            *[f"_by_{c}" for c in by])
+    else:
+        known = counts.withColumn("_facts", counts.agg(facts).scalar())
+    v, edges = F.col(value).cast("double"), F.col("_facts.edges")
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)),
+                                         lambda i: edges[i * FINE]), lambda e: e <= v))
+    fine = F.size(F.filter(F.slice(edges, (F.greatest(coarse, F.lit(1)) - 1) * FINE + 1, FINE),
+                           lambda e: e <= v))
+    return known.withColumn("_slice", F.coalesce(coarse * (FINE + 1) + fine, F.lit(0))).withColumns(
+        {n: F.col(f"_facts.{n}") for n in totals}).drop("_facts")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -126,7 +142,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     The built-in exact percentile keeps all distinct values of a group in one task.  Here distinct
     values are counted, ordered slice by slice, and only those at the wanted ranks are kept.
     """
-    df, keys = with_group(df, by)
+    keys = list(by)
     counts = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
@@ -276,6 +292,8 @@ def top_categories(df: DataFrame, dims: dict[str, int]) -> DataFrame:
     limit = F.create_map(*[F.lit(x) for d, n in dims.items() for x in (d, n)])
     return (
         counts.withColumn("rank", F.row_number().over(w).cast("bigint"))
+        # The literal lets Spark cut each task's rows before the window.
+        .filter(F.col("rank") <= max(dims.values()))
         .filter(F.col("rank") <= limit[F.col("dimension")])
     )
 
@@ -300,5 +318,5 @@ def domain_rank(col: str, domain: Sequence[str]) -> Column:
 
 
 def rank_table(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Rank 1..n of a small summary table."""
+    """Rank 1..n of a summary table of a fixed number of rows: the window is one task."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import Y
-from .ordering import unpivot
+from .ordering import running_sums, unpivot, with_value_levels
 
 
 def metrics_with_cost(metrics: DataFrame, costs: DataFrame, key: str = "model") -> DataFrame:
@@ -98,10 +98,13 @@ def rank_alignment(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFram
         b.select(key, F.col(value).alias("value_b")), key)
     ranked = both
     for side in ("a", "b"):
-        # Average rank over ties.
-        first = F.rank().over(Window.orderBy(F.desc(f"value_{side}")))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(f"value_{side}"))
-        ranked = ranked.withColumn(f"rank_{side}", first + (ties - 1) / 2)
+        # Average rank over ties, from the number of keys with a higher value.
+        value = f"value_{side}"
+        counts = ranked.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        placed = with_value_levels(counts, "_v", [])
+        cum = running_sums(placed, [F.desc("_v")], {"_cum": F.col("_n")}, [-F.col("_slice")])
+        rank = cum.select("_v", (F.col("_cum") - (F.col("_n") - 1) / 2).alias(f"rank_{side}"))
+        ranked = ranked.join(rank, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
     return ranked
 
 
@@ -112,9 +115,8 @@ def spearman(ranked: DataFrame) -> DataFrame:
 
 def share_alignment(a: DataFrame, b: DataFrame, key: str, value: str, k: int = 10) -> DataFrame:
     """Shares of the union of both top-k lists, with flags for where a key is known."""
-    whole = Window.partitionBy(F.lit(0))
     share = lambda df, side: df.select(
-        key, (F.col(value) / F.sum(value).over(whole)).alias(f"share_{side}"))
+        key, (F.col(value) / df.agg(F.sum(value)).scalar()).alias(f"share_{side}"))
     sa, sb = share(a, "a"), share(b, "b")
     top = lambda df, side: df.orderBy(F.desc(f"share_{side}"), key).limit(k).select(key)
     keys = top(sa, "a").union(top(sb, "b")).distinct()

@@ -12,8 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from .metrics import Y, histogram
 from .ordering import (
-    exact_quantiles, quantile_columns, running_max, running_sums, unpivot, with_group,
-    with_value_levels,
+    exact_quantiles, quantile_columns, running_max, running_sums, unpivot, with_value_levels,
 )
 
 
@@ -24,20 +23,17 @@ def clip_to_quantile(df: DataFrame, col: str, q: float = 0.99, name: str = "clip
 
 
 def chi2_tail(x: float, dof: int) -> float:
-    """Upper tail of the chi-squared distribution for whole degrees of freedom."""
+    """Upper tail of the chi-squared distribution for whole degrees of freedom.
+
+    A finite sum of Poisson terms; each is taken from its logarithm, so none underflows early.
+    """
+    if x <= 0:
+        return 1.0
     half = x / 2
-    if dof % 2 == 0:
-        term, total = math.exp(-half), math.exp(-half)
-        for i in range(1, dof // 2):
-            term *= half / i
-            total += term
-        return total
-    total = math.erfc(math.sqrt(half))
-    term = math.exp(-half) * math.sqrt(half) / math.gamma(1.5)
-    for i in range(1, (dof + 1) // 2):
-        total += term
-        term *= half / (i + 0.5)
-    return total
+    step = 0.0 if dof % 2 == 0 else 0.5
+    terms = [math.exp((i + step) * math.log(half) - half - math.lgamma(i + step + 1))
+             for i in range((dof - int(2 * step)) // 2)]
+    return min(1.0, math.fsum(terms) + (math.erfc(math.sqrt(half)) if step else 0.0))
 
 
 @F.pandas_udf(DoubleType())
@@ -101,13 +97,13 @@ def pareto_frontier(df: DataFrame, x: str, y: str, lower_x: bool = True, higher_
                     ) -> DataFrame:
     """Rows no other row beats on both axes: one ordered pass with a running best."""
     sign = lambda c, up: F.col(c).cast("double") if up else -F.col(c).cast("double")
-    rows = df.withColumns({"_x": sign(x, lower_x), "_y": sign(y, higher_y), "_all": F.lit(0)})
-    steps = rows.groupBy("_all", "_x").agg(F.max("_y").alias("_top"))
-    placed = with_value_levels(steps, "_x", ["_all"])
-    best = running_max(placed, [F.asc("_x")], {"_best": F.col("_top")}, [F.col("_slice")], ["_all"])
+    rows = df.withColumns({"_x": sign(x, lower_x), "_y": sign(y, higher_y)})
+    steps = rows.groupBy("_x").agg(F.max("_y").alias("_top"))
+    placed = with_value_levels(steps, "_x", [])
+    best = running_max(placed, [F.asc("_x")], {"_best": F.col("_top")}, [F.col("_slice")])
     # A frontier step is the smallest x at which the running best reaches its value.
     front = best.groupBy(F.col("_best").alias("_y")).agg(F.min("_x").alias("_x"))
-    return rows.join(front, ["_x", "_y"], "left_semi").drop("_x", "_y", "_all")
+    return rows.join(front, ["_x", "_y"], "left_semi").drop("_x", "_y")
 
 
 def minmax_scale(df: DataFrame, cols: dict[str, bool]) -> DataFrame:
@@ -126,26 +122,25 @@ def minmax_scale(df: DataFrame, cols: dict[str, bool]) -> DataFrame:
 
 def rank_normalise(df: DataFrame, value: str, name: str = "rank_unit") -> DataFrame:
     """Average rank scaled to [0, 1]; null values get 0.5."""
-    counts, keys = with_group(
-        df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n")), [])
-    placed = with_value_levels(counts, "_v", keys, _total=F.sum("_n"), _top=F.max("_v"))
-    cum = running_sums(placed, [F.asc("_v")], {"_cum": F.col("_n")}, [F.col("_slice")], keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    placed = with_value_levels(counts, "_v", [], _total=F.sum("_n"), _top=F.max("_v"))
+    cum = running_sums(placed, [F.asc("_v")], {"_cum": F.col("_n")}, [F.col("_slice")])
     rank = cum.withColumn("_rank", F.col("_cum") - (F.col("_n") - 1) / 2)
     # The highest average rank belongs to the largest value.
     highest = rank.filter(F.col("_v") == F.col("_top")).select("_rank").scalar()
     unit = rank.withColumn("_highest", highest).select("_v", (
         (F.col("_rank") - 1) / F.greatest(F.col("_highest") - 1, F.lit(1.0))).alias(name))
-    return df.join(unit, F.col(value) == F.col("_v"), "left").drop("_v").fillna({name: 0.5})
+    # Null values need no rank; as one key of the join they would meet in one task.
+    known = df.filter(F.col(value).isNotNull()).join(unit, F.col(value) == F.col("_v")).drop("_v")
+    return known.unionByName(df.filter(F.col(value).isNull()).withColumn(name, F.lit(0.5)))
 
 
 def frequency_code(df: DataFrame, col: str, name: str = "code") -> DataFrame:
     """Category to ordinal by ascending frequency (ties by value)."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    grouped, keys = with_group(counts, [])
-    placed = with_value_levels(grouped, "_n", keys)
-    codes = running_sums(placed, [F.asc("_n"), F.asc(col)], {name: F.lit(1)}, [F.col("_slice")],
-                         keys)
+    placed = with_value_levels(counts, "_n", [])
+    codes = running_sums(placed, [F.asc("_n"), F.asc(col)], {name: F.lit(1)}, [F.col("_slice")])
     return df.join(codes.select(col, (F.col(name) - 1).alias(name)), col, "left")
 
 

@@ -56,15 +56,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def transient_shuffles(spark: SparkSession):
-    """Inside, the shuffle files of an action go as soon as the action ends."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+def lean_actions(spark: SparkSession, batch_bytes: int = 8 << 20):
+    """Inside, an action drops its shuffle files when it ends, and Python gets small batches."""
+    wanted = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes),
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def written_table(df: DataFrame, label: str) -> DataFrame:
@@ -74,7 +79,7 @@ def written_table(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    with transient_shuffles(spark):
+    with lean_actions(spark):
         df.write.option("compression", "zstd").parquet(path)
     _WRITTEN[path] = label
     return spark.read.schema(df.schema).parquet(path)

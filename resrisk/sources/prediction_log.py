@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +29,9 @@ def log_rows(df: DataFrame, at: Column | None = None) -> DataFrame:
 def append_log(df: DataFrame, path: str, at: Column | None = None) -> bool:
     """Append scored rows.  A failing log must not fail the scoring: it is reported as False."""
     try:
-        log_rows(df, at).write.mode("append").partitionBy("dt").parquet(path)
+        # One task writes a day, or several of a large day: not every task a file for each day.
+        rows = log_rows(df, at).hint("rebalance", "dt")
+        rows.write.mode("append").partitionBy("dt").parquet(path)
         return True
     except Exception:
         logger.exception("could not append to the prediction log %s", path)
@@ -63,21 +64,26 @@ def log_since(df: DataFrame, since: str, day: str = "dt", stamp: str = "timestam
     return df.filter((F.col(day) >= F.to_date(at)) & (F.col(stamp) >= at)).orderBy(stamp)
 
 
+def log_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def export_since(spark: SparkSession, path: str, out: str, since: str) -> int:
-    """Write the rows since a time as CSV in time order; number of rows (0 without a log)."""
-    try:
-        rows = log_since(read_log(spark, path), since)
-    except AnalysisException:
+    """Write the rows since a time as CSV in time order; number of rows (0 without a log).
+
+    A log that cannot be read, as with a missing column, raises.
+    """
+    if not log_exists(spark, path):
         return 0
+    written = Observation()
+    rows = log_since(read_log(spark, path), since).observe(written, F.count(F.lit(1)).alias("n"))
     rows.drop("dt").write.mode("overwrite").option("header", True).csv(out)
-    return spark.read.option("header", True).csv(out).count()
+    return written.get["n"]
 
 
 def count_log(spark: SparkSession, path: str) -> int:
-    try:
-        return read_log(spark, path).count()
-    except AnalysisException:
-        return 0
+    return read_log(spark, path).count() if log_exists(spark, path) else 0
 
 
 def write_report(df: DataFrame, folder: str, name: str) -> None:
