@@ -149,6 +149,12 @@ def _blocks(doc: np.ndarray, place: np.ndarray, mark: np.ndarray, buckets: int)
     yield pa.record_batch([pa.array(rows[n], k) for n, k in zip(_BLOCK_NAMES, kinds)], names=_BLOCK_NAMES)
 
 
+def _rows(table: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """Rows one by one, so that only one row's bytes are copied at a time."""
+    for i in range(table.num_rows):
+        yield table.slice(i, 1).to_pylist()[0]
+
+
 def _read_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
     counts = _unplanes(row["counts"], np.uint32).astype(np.int64)
     places = _unsteps(_unplanes(row["places"], np.uint32), counts)
@@ -213,7 +219,7 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa
         return len(found[-1][0])
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             if row["bucket"] != now:
                 n += close()
                 now = row["bucket"]
@@ -234,7 +240,7 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa
 def _places_of(blocks: pa.Table) -> dict[int, np.ndarray]:
     """Sorted distinct places by document."""
     parts: dict[int, list] = {}
-    for row in blocks.to_pylist():
+    for row in _rows(blocks):
         counts = _unplanes(row["counts"], np.uint32).astype(np.int64)
         places = _unsteps(_unplanes(row["places"], np.uint32), counts)
         for d, p in zip(_unplanes(row["docs"], np.int64).tolist(), np.split(places, np.cumsum(counts)[:-1])):
@@ -251,7 +257,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 #: Suffixes that a task collects before it sorts and sends them.
-_HELD = 2_000_000
+_HELD = 500_000
 
 
 def _collected(found: Iterator[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -339,7 +345,7 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id",
-                   bucket_size: int = 1_000_000, group_bytes: int = 24 << 20, turns: int = 2) -> DataFrame:
+                   bucket_size: int = 300_000, group_bytes: int = 8 << 20, turns: int = 2) -> DataFrame:
     """Every row of `docs` with `spans` (array of begin, end) and `kept_bytes` (binary).
 
     A span is a maximal run of bytes covered by strings of `length` bytes that start anywhere else
