@@ -189,7 +189,7 @@ def _verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8,
-                 bands: int = 25, rows: int = 5, leader_rounds: int = 4) -> DataFrame:
+                 bands: int = 25, rows: int = 5, leader_rounds: int = 2) -> DataFrame:
     """One row per document: key, `class_id`, `class_size` and `kept`.
 
     Documents are linked if the weighted Jaccard similarity of their bags of `shingle` lower-cased
@@ -226,7 +226,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
                 "bucket", "cid", F.coalesce("component", "cid").alias("component"))
         if turn < leader_rounds:
             # The first order is the same in all buckets, so most members meet one leader only.
-            order = F.xxhash64("cid", *([F.col("bucket"), F.lit(turn)] if turn else []))
+            order = F.xxhash64("cid", "bucket", F.lit(turn)) if turn else F.col("cid")
             heads = now.groupBy("bucket").agg(
                 F.min(F.struct(order.alias("o"), F.col("cid"), F.col("component"))).alias("_head"),
                 F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi")
@@ -238,7 +238,9 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
             right = left.select("bucket", F.col("cid").alias("_other"), F.col("component").alias("_theirs"))
             pairs = left.join(right, "bucket").filter("component < _theirs").select(
                 F.least("cid", "_other").alias("a"), F.greatest("cid", "_other").alias("b"))
-        new = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = pairs.distinct()
+        if turn:
+            new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         new = written_table(new, "llm-near-pairs")
         if new.isEmpty():
             if turn and turn < leader_rounds:

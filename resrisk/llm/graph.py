@@ -8,21 +8,30 @@ from pyspark.sql import functions as F
 from ..session import drop_written, written_table
 
 
-def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node either leads to one smaller node only or is led to only."""
+    ends = links.select(F.explode(F.array(
+        F.struct(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("led")),
+        F.struct(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("led")))).alias("e"))
+    nodes = ends.groupBy("e.n").agg(F.sum("e.out").alias("out"), F.max("e.led").alias("led"))
+    return nodes.filter((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("led") == 1))).isEmpty()
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in `links` (a, b); the component is its smallest node.
 
-    The steps keep the number of links at most as it was and end when they change nothing. Each
-    is a grouped minimum and a join on the node, so no component meets in one task.
+    The steps keep the number of links at most as it was and end when all links are stars around
+    their components' smallest nodes. Each is a grouped minimum and a join on the node, so no
+    component meets in one task.
     """
     links = links.select("a", "b").filter("a != b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = written_table(links, "llm-links")
-    before = None
-    for _ in range(most_rounds):
+    while not _are_stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        large = large.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v")
         # After the large star every link leads to a smaller node.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -30,10 +39,6 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         after = written_table(small, "llm-links")
         drop_written(links.sparkSession, links)
         links = after
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if before == state:
-            break
-        before = state
-    nodes = links.groupBy("u").agg(F.min("v").alias("component"))
-    roots = links.select(F.col("v").alias("u")).distinct().join(nodes, "u", "left_anti")
-    return nodes.unionByName(roots.select("u", F.col("u").alias("component"))).withColumnRenamed("u", "node")
+    roots = links.select(F.col("v").alias("node")).distinct()
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        roots.select("node", F.col("node").alias("component")))
