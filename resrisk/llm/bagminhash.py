@@ -124,7 +124,7 @@ def _marks(bag: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
 
 
 def _signed(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """Key, two marks of the bag and the band hashes of every document."""
+    """Key, two marks of the bag, the band hashes and 16 bits of each slot of every document."""
     kind = docs.schema[key].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +145,7 @@ def _signed(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: i
                 doc = np.repeat(np.arange(n), [len(b[0]) for b in got])
                 sig = signatures(np.concatenate([b[0] for b in got]), np.concatenate([b[1] for b in got]), doc, n, bands * rows)
                 bits = _mix(sig.view(np.uint64)).reshape(n, bands, rows)
+                low = (bits & np.uint64(0xFFFF)).astype(np.uint16).reshape(n, -1)
                 h = np.zeros((n, bands), np.uint64) + number
                 for i in range(rows):
                     h = _mix(h + bits[:, :, i])
@@ -152,10 +153,12 @@ def _signed(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: i
                 offsets = np.arange(0, (n + 1) * bands, bands, dtype=np.int32)
                 yield pa.record_batch([
                     batch.column(0).slice(begin, n), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
-                    pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64).ravel()))],
-                    names=[key, "_k1", "_k2", "_bands"])
+                    pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64).ravel())),
+                    pa.array([x.tobytes() for x in low], pa.binary())],
+                    names=[key, "_k1", "_k2", "_bands", "_slots"])
 
-    return docs.select(key, text).mapInArrow(sign, f"`{key}` {kind}, _k1 bigint, _k2 bigint, _bands array<bigint>")
+    return docs.select(key, text).mapInArrow(
+        sign, f"`{key}` {kind}, _k1 bigint, _k2 bigint, _bands array<bigint>, _slots binary")
 
 
 def _bag_table(wanted: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -188,8 +191,51 @@ def _verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", linked("_x", "_y").alias("linked"))
 
 
+#: Members of one side of a block of comparisons.
+_BLOCK = 1024
+
+
+def _rest_of_buckets(now: DataFrame, slots: DataFrame, least: float, slots_each: int) -> DataFrame:
+    """Pairs (a, b) of a bucket that are in different components and may be linked.
+
+    In each bucket every member outside the largest component meets all members of other
+    components. Bucket members are dealt into blocks of bounded size and a block compares
+    signatures: a pair goes on if the slots that agree are no fewer than five standard deviations
+    below what a similarity of `least` has.
+    """
+    sizes = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n"))
+    heads = sizes.groupBy("bucket").agg(
+        F.max(F.struct("_n", "component")).alias("_main"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_parts"))
+    heads = heads.filter("_parts > 1").select(
+        "bucket", F.col("_main.component").alias("_main"), F.ceil(F.col("_all") / _BLOCK).alias("_wide"),
+        F.ceil((F.col("_all") - F.col("_main._n")) / _BLOCK).alias("_high"))
+    rows = now.join(heads, "bucket").join(slots, "cid")
+    deal = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keep = ["bucket", "cid", "component", "_slots"]
+    outside = rows.filter("component != _main").select(
+        *keep, F.lit(True).alias("outside"), deal("_high", 1).alias("i"), every("_wide").alias("j"))
+    others = rows.select(*keep, F.lit(False).alias("outside"), every("_high").alias("i"), deal("_wide", 2).alias("j"))
+    bound = least * slots_each - 5 * (slots_each * least * (1 - least)) ** 0.5
+
+    def compare(block: pa.Table) -> pa.Table:
+        side = block["outside"].to_numpy()
+        cid, component = block["cid"].to_numpy(), block["component"].to_numpy()
+        table = np.frombuffer(b"".join(block["_slots"].to_pylist()), np.uint16).reshape(len(cid), -1)
+        a, b = [], []
+        for x in np.flatnonzero(side):
+            y = np.flatnonzero(~side & (component != component[x]))
+            y = y[(table[y] == table[x]).sum(1) >= bound]
+            a.append(np.minimum(cid[x], cid[y]))
+            b.append(np.maximum(cid[x], cid[y]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    return outside.unionByName(others).groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8,
-                 bands: int = 25, rows: int = 5, leader_rounds: int = 2) -> DataFrame:
+                 bands: int = 25, rows: int = 5, leader_rounds: int = 3, leaders: int = 4) -> DataFrame:
     """One row per document: key, `class_id`, `class_size` and `kept`.
 
     Documents are linked if the weighted Jaccard similarity of their bags of `shingle` lower-cased
@@ -199,9 +245,10 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     verified on the bags themselves.
 
     In a bucket of equal bands members are compared to one leader, so a bucket of n documents
-    gives n pairs. Members that are not yet in the leader's class are compared to other leaders in
-    the next rounds. After `leader_rounds` what is left, pairs of a bucket in different classes
-    and not yet compared, is compared one by one: no bucket is capped and no pair left out.
+    gives n pairs. Members that are not yet in a leader's class are compared to a few other
+    leaders of the bucket in the next rounds. After `leader_rounds` all that is left, pairs of a
+    bucket in different classes and not yet compared, goes through `_rest_of_buckets`: no bucket
+    is capped, and a linked pair is passed over with a probability below 1e-6.
 
     `class_id` is the smallest key of the class, and the document with that key is kept. A text
     without words equals every other such text, null included. Rows that repeat key and text are
@@ -210,7 +257,8 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     spark = docs.sparkSession
     signed = written_table(_signed(docs, key, text, shingle, bands, rows), "llm-near-signed")
     classes = signed.groupBy("_k1", "_k2").agg(
-        F.min(key).alias("_first"), F.count(F.lit(1)).alias("_copies"), F.first("_bands").alias("_bands"))
+        F.min(key).alias("_first"), F.count(F.lit(1)).alias("_copies"), F.first("_bands").alias("_bands"),
+        F.first("_slots").alias("_slots"))
     classes = written_table(classes.withColumn("cid", F.monotonically_increasing_id()), "llm-near-nodes")
     banded = classes.select("cid", F.explode("_bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
@@ -226,18 +274,16 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
                 "bucket", "cid", F.coalesce("component", "cid").alias("component"))
         if turn < leader_rounds:
             # The first order is the same in all buckets, so most members meet one leader only.
-            order = F.xxhash64("cid", "bucket", F.lit(turn)) if turn else F.col("cid")
+            orders = [F.xxhash64("cid", "bucket", F.lit(turn), F.lit(i)) for i in range(leaders)] if turn else [F.col("cid")]
             heads = now.groupBy("bucket").agg(
-                F.min(F.struct(order.alias("o"), F.col("cid"), F.col("component"))).alias("_head"),
+                F.array(*[F.min(F.struct(o.alias("o"), F.col("cid"), F.col("component"))) for o in orders]).alias("_heads"),
                 F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi")
+            heads = heads.select("bucket", F.explode(F.array_distinct(F.transform(
+                "_heads", lambda h: F.struct(h["cid"].alias("cid"), h["component"].alias("component"))))).alias("_head"))
             pairs = now.join(heads, "bucket").filter(F.col("component") != F.col("_head.component")).select(
                 F.least("cid", "_head.cid").alias("a"), F.greatest("cid", "_head.cid").alias("b"))
         else:
-            split = now.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi")
-            left = now.join(split.select("bucket"), "bucket")
-            right = left.select("bucket", F.col("cid").alias("_other"), F.col("component").alias("_theirs"))
-            pairs = left.join(right, "bucket").filter("component < _theirs").select(
-                F.least("cid", "_other").alias("a"), F.greatest("cid", "_other").alias("b"))
+            pairs = _rest_of_buckets(now, classes.select("cid", "_slots"), least, bands * rows)
         new = pairs.distinct()
         if turn:
             new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
