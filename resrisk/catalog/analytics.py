@@ -225,11 +225,9 @@ FROM clean JOIN box USING (deposit_type) GROUP BY 1, 2, 3, 4"""),
 
 # --- I ---------------------------------------------------------------------------------------
 register("i1_monthly_trend",
-         lambda spark, sf: timeseries.monthly_trend(
-             cleaned(spark, sf).filter("arrival_date_month != 'March'")),
+         lambda spark, sf: timeseries.monthly_trend(cleaned(spark, sf)),
          with_ctes(CLEAN, "monthly AS (SELECT date_trunc('month', arrival_date)::DATE AS month, "
-                   "count(*) AS n, avg(is_canceled) AS cancel_rate FROM clean "
-                   "WHERE month(arrival_date) <> 3 GROUP BY 1)", body="""
+                   "count(*) AS n, avg(is_canceled) AS cancel_rate FROM clean GROUP BY 1)", body="""
 SELECT month, COALESCE(n, 0) AS n, cancel_rate, avg(cancel_rate) OVER (
   ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rate_3m
 FROM (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month
@@ -355,7 +353,7 @@ def _perf(spark, sf):
 
 
 def _costs(spark, sf):
-    return scored(spark, sf).filter("is_canceled = 1 AND hotel = 'City Hotel'").groupBy(
+    return scored(spark, sf).groupBy(
         F.col("supp_key").alias("model")).agg(F.round(F.sum("fn_cost"), 2).alias("cost"))
 
 
@@ -363,8 +361,7 @@ PERF = """
 perf AS (SELECT supp_key AS model, round(avg(cancel_probability), 6) AS mean_score,
   round(avg(adr), 6) AS mean_adr FROM scored GROUP BY 1)"""
 COSTS = """
-costs AS (SELECT supp_key AS model, round(sum(fn_cost), 2) AS cost FROM scored
-  WHERE is_canceled = 1 AND hotel = 'City Hotel' GROUP BY 1)"""
+costs AS (SELECT supp_key AS model, round(sum(fn_cost), 2) AS cost FROM scored GROUP BY 1)"""
 register("j1_inner_join_metrics_cost",
          lambda spark, sf: sets.metrics_with_cost(_perf(spark, sf), _costs(spark, sf)),
          with_ctes(SCORED, PERF, COSTS, body="SELECT * FROM perf JOIN costs USING (model)"),
@@ -372,9 +369,9 @@ register("j1_inner_join_metrics_cost",
 
 
 def _top_models(spark, sf):
-    ranking = ordering.rank_table(_perf(spark, sf), F.desc("mean_score"), F.asc("model"))
     rows = scored(spark, sf).withColumnRenamed("supp_key", "model")
-    return sets.rows_of_top_models(rows, ranking, 5).groupBy("model").agg(
+    best = [F.desc("mean_score"), F.asc("model")]
+    return sets.rows_of_top_models(rows, _perf(spark, sf), best, 5).groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.sum(Y).alias("cancelled"))
 
 
@@ -452,14 +449,12 @@ SELECT dimension, segment, CASE WHEN b.x IS NULL THEN 'a_only' WHEN a.x IS NULL
   ELSE 'both' END AS found_in FROM a FULL JOIN b USING (dimension, segment)"""))
 register("j8_full_outer_categories",
          lambda spark, sf: sets.full_outer_counts(
-             cleaned(spark, sf).filter("hotel = 'City Hotel' AND supp_key % 3 != 0"),
-             cleaned(spark, sf).filter("hotel = 'Resort Hotel' AND supp_key % 4 != 1"),
-             "agent").withColumn("agent", F.col("agent")),
+             cleaned(spark, sf).filter("hotel = 'City Hotel'"),
+             cleaned(spark, sf).filter("hotel = 'Resort Hotel'"), "agent"),
          with_ctes(CLEAN, body="""
-SELECT agent, count(*) FILTER (hotel = 'City Hotel' AND supp_key % 3 <> 0) AS n_a,
-  count(*) FILTER (hotel = 'Resort Hotel' AND supp_key % 4 <> 1) AS n_b
-FROM clean WHERE hotel = 'City Hotel' AND supp_key % 3 <> 0
-  OR hotel = 'Resort Hotel' AND supp_key % 4 <> 1 GROUP BY 1"""))
+SELECT agent, count(*) FILTER (hotel = 'City Hotel') AS n_a,
+  count(*) FILTER (hotel = 'Resort Hotel') AS n_b FROM clean
+WHERE hotel IN ('City Hotel', 'Resort Hotel') AND agent IS NOT NULL GROUP BY 1"""))
 
 
 def _market(hotel):

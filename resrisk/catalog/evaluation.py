@@ -155,10 +155,9 @@ FROM counts JOIN aucs USING (hotel)"""),
          dbl="roc_auc pr_auc precision recall f1 balanced_accuracy")
 register("e3_safe_threshold_metrics",
          lambda spark, sf: metrics.threshold_metrics(
-             scored(spark, sf).filter("is_canceled = 1 OR lead_time > 3"), T, ["is_late_window"]),
-         with_ctes(SCORED, "part AS (SELECT * FROM scored WHERE is_canceled = 1 OR lead_time > 3)",
-                   auc_sql("part", "is_late_window"),
-                   f"counts AS (SELECT is_late_window, {confusion_sql(T)} FROM part GROUP BY 1)",
+             scored(spark, sf), T, ["is_late_window"]),
+         with_ctes(SCORED, auc_sql("scored", "is_late_window"),
+                   f"counts AS (SELECT is_late_window, {confusion_sql(T)} FROM scored GROUP BY 1)",
                    body=f"""
 SELECT is_late_window, tn, fp, fn, tp, roc_auc, pr_auc, {PRF_SQL}, {BALANCED_SQL}
 FROM counts JOIN aucs USING (is_late_window)"""),

@@ -134,12 +134,10 @@ SELECT count(*) FILTER (booking_status = 'Pending') AS rows_dropped_unknown_stat
 CHOICES = ["hotel", "market_segment", "distribution_channel", "meal", "country", "deposit_type"]
 register("a5_select_columns_scan",
          lambda spark, sf: src.distinct_values(
-             bookings(spark, sf), [*CHOICES, "no_such_column"], {"no_such_column": ["A", "B"]}
-         ).select("column_name", F.array_join("choices", "|").alias("choices")),
+             bookings(spark, sf), [*CHOICES, "no_such_column"], {"no_such_column": ["A", "B"]}),
          with_ctes(BOOKINGS, f"long AS ({long_form('bookings', CHOICES, '1')})", body="""
-SELECT dimension AS column_name, string_agg(segment, '|' ORDER BY segment) AS choices
-FROM (SELECT DISTINCT dimension, trim(segment) AS segment FROM long WHERE trim(segment) <> '')
-GROUP BY 1 UNION ALL SELECT 'no_such_column', 'A|B'"""))
+SELECT DISTINCT dimension AS column_name, trim(segment) AS choice FROM long
+WHERE trim(segment) <> '' UNION ALL SELECT 'no_such_column', unnest(['A', 'B'])"""))
 
 
 def _report(spark, sf):

@@ -72,3 +72,8 @@ SEGMENT_MIN_ROWS = 500
 PSI_STABLE, PSI_MONITOR = 0.10, 0.25
 PSI_WARN, PSI_ALERT = 0.10, 0.20
 PSI_COUNT_EPS, PSI_SHARE_EPS = 1e-4, 1e-6
+
+# Model sizes. Early stopping usually ends a boosted fit well before its rounds.
+BOOST_ROUNDS, BOOST_DEPTH = 100, 5
+ADR_ROUNDS = 50
+BOOTSTRAP_REPLICATES = 2000

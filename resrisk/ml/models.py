@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from .. import config as C
 from ..operators.metrics import P, Y, auc_columns, auc_metrics, brier, descending_totals, ece
 from ..operators.ordering import unpivot
 
@@ -75,32 +76,54 @@ def class_ratio(df: DataFrame) -> DataFrame:
                   F.coalesce(F.try_divide(neg, pos), F.lit(1.0)).alias("ratio"))
 
 
-def estimator(family: str, rounds: int = 20, depth: int = 5, seed: int = 42):
-    """Classifier of a family; the boosted ones differ in step, sampling and feature choice."""
+BOOSTED = ["gradient_boosting", "boosting_subsampled", "boosting_small_steps"]
+BASELINES = ["logistic", "decision_tree", "naive_bayes", "random_forest"]
+
+
+def estimator(family: str, rounds: int = C.BOOST_ROUNDS, depth: int = C.BOOST_DEPTH,
+              seed: int = 42, early_stop: bool = False):
+    """Classifier of a family; the boosted ones differ in step, sampling and feature choice.
+
+    All but naive Bayes weigh rows by `weight`. With `early_stop` a boosted one ends when the
+    error on the rows marked `validation` no longer falls.
+    """
     base = {"labelCol": Y, "featuresCol": "features"}
-    boosted = {"maxIter": rounds, "maxDepth": depth, "seed": seed, **base}
+    weighted = {**base, "weightCol": "weight"}
+    boosted = {"maxIter": rounds, "maxDepth": depth, "seed": seed, **weighted}
+    if early_stop:
+        boosted |= {"validationIndicatorCol": "validation", "validationTol": 1e-3}
     return {
         "gradient_boosting": lambda: GBTClassifier(stepSize=0.1, **boosted),
         "boosting_subsampled": lambda: GBTClassifier(
             stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted),
         "boosting_small_steps": lambda: GBTClassifier(
             stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted),
-        "logistic": lambda: LogisticRegression(maxIter=50, regParam=1e-4, **base),
-        "decision_tree": lambda: DecisionTreeClassifier(
-            maxDepth=5, seed=seed, weightCol="weight", **base),
+        "logistic": lambda: LogisticRegression(maxIter=50, regParam=1e-4, **weighted),
+        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=5, seed=seed, **weighted),
         "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **base),
         "random_forest": lambda: RandomForestClassifier(
-            numTrees=rounds, maxDepth=depth, seed=seed, **base),
+            numTrees=rounds, maxDepth=depth, seed=seed, **weighted),
     }[family]()
 
 
-def fit_family(train: DataFrame, family: str, cats: Sequence[str], nums: Sequence[str], **kw
-               ) -> PipelineModel:
-    """Fit preprocessing and model; positives weigh as much as negatives where weights are used."""
+def fit_family(train: DataFrame, family: str, cats: Sequence[str], nums: Sequence[str],
+               validation: DataFrame | None = None, **kw) -> PipelineModel:
+    """Fit preprocessing and model; positives weigh as much as negatives where weights are used.
+
+    The preprocessing is fitted on `train` alone. A boosted family with `validation` rows stops
+    early on them.
+    """
     ratio = class_ratio(train).first()["ratio"]
-    rows = as_numbers(train, nums).withColumn(
+    weigh = lambda df: as_numbers(df, nums).withColumn(
         "weight", F.when(F.col(Y) == 1, float(ratio)).otherwise(1.0))
-    return Pipeline(stages=[*preprocessor(cats, nums), estimator(family, **kw)]).fit(rows)
+    rows = weigh(train)
+    ready = Pipeline(stages=preprocessor(cats, nums)).fit(rows)
+    early = validation is not None and family in BOOSTED
+    if early:
+        rows = rows.withColumn("validation", F.lit(False)).unionByName(
+            weigh(validation).withColumn("validation", F.lit(True)))
+    model = estimator(family, early_stop=early, **kw).fit(ready.transform(rows))
+    return PipelineModel(stages=[*ready.stages, model])
 
 
 def score(model: PipelineModel, df: DataFrame, nums: Sequence[str], name: str = P) -> DataFrame:
@@ -200,7 +223,10 @@ def ensemble_spread(df: DataFrame, scores: Sequence[str]) -> DataFrame:
 
 def select_champion(df: DataFrame, folds, parts, families: Sequence[str], cats, nums, **kw
                     ) -> DataFrame:
-    """Families ranked by mean rolling PR-AUC, then ROC-AUC, then name; one fit per cell."""
+    """Families ranked by mean rolling PR-AUC, then ROC-AUC, then name; one fit per cell.
+
+    The driver holds one row per fold and family. Wins are the folds in which a family is best.
+    """
     rows = []
     for fold in folds:
         train, test = parts(fold)
@@ -209,21 +235,29 @@ def select_champion(df: DataFrame, folds, parts, families: Sequence[str], cats,
             rows.append((family, fold.name, m["roc_auc"], m["pr_auc"]))
     spark = df.sparkSession
     table = spark.createDataFrame(rows, "family string, fold string, roc_auc double, pr_auc double")
-    means = table.groupBy("family").agg(F.avg("pr_auc").alias("pr_auc"),
-                                        F.avg("roc_auc").alias("roc_auc"))
+    best = Window.partitionBy("fold").orderBy(F.desc("pr_auc"), F.desc("roc_auc"), "family")
+    table = table.withColumn("won", F.row_number().over(best) == 1)
+    means = table.groupBy("family").agg(
+        F.count(F.lit(1)).alias("folds"), F.avg("pr_auc").alias("pr_auc"),
+        F.avg("roc_auc").alias("roc_auc"), F.count_if("won").alias("wins"))
     order = Window.orderBy(F.desc("pr_auc"), F.desc("roc_auc"), "family")
     return means.withColumn("rank", F.row_number().over(order)).withColumn(
         "gap_to_best", F.first("pr_auc").over(order) - F.col("pr_auc"))
 
 
+REGRESSORS = ["linear", "ridge", "lasso", "decision_tree", "random_forest", "gradient_boosting"]
+
+
 def regressor(family: str, target: str = "adr", seed: int = 42):
     base = {"labelCol": target, "featuresCol": "features"}
     return {
-        "gradient_boosting": lambda: GBTRegressor(maxIter=10, maxDepth=5, seed=seed, **base),
+        "gradient_boosting": lambda: GBTRegressor(
+            maxIter=C.ADR_ROUNDS, maxDepth=C.BOOST_DEPTH, seed=seed, **base),
         "linear": lambda: LinearRegression(**base),
         "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0, **base),
         "lasso": lambda: LinearRegression(regParam=1.0, elasticNetParam=1.0, **base),
-        "random_forest": lambda: RandomForestRegressor(numTrees=10, maxDepth=5, seed=seed, **base),
+        "random_forest": lambda: RandomForestRegressor(
+            numTrees=C.ADR_ROUNDS, maxDepth=C.BOOST_DEPTH, seed=seed, **base),
         "decision_tree": lambda: DecisionTreeRegressor(maxDepth=5, seed=seed, **base),
     }[family]()
 

@@ -23,12 +23,13 @@ def segment_metrics(df: DataFrame, t: float, dims: dict[str, int] = C.SEGMENT_DI
     keys = ["dimension", "segment"]
     top = top_categories(df, dims).select(*keys)
     long = unpivot(df, list(dims), [Y, P]).fillna({"segment": "UNKNOWN"})
-    stats = threshold_metrics(long, t, keys)
+    # Only the rows of the wanted segments go on to the score curves.
+    stats = threshold_metrics(long.join(top, keys, "left_semi"), t, keys)
     total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     positive = F.col("tp") + F.col("fn")
     mixed = (positive > 0) & (positive < total)
     gated = (total >= min_rows) & mixed
-    return stats.join(top, keys, "left_semi").select(
+    return stats.select(
         F.lit(policy).alias("policy"), *keys, total.alias("n_rows"),
         (positive / total).alias("positive_rate"), gated.alias("gated"),
         F.lit(float(t)).alias("threshold"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import Y
@@ -16,10 +16,10 @@ def metrics_with_cost(metrics: DataFrame, costs: DataFrame, key: str = "model")
     return metrics.join(costs, key, "inner")
 
 
-def rows_of_top_models(rows: DataFrame, ranking: DataFrame, k: int, key: str = "model"
-                       ) -> DataFrame:
-    """Keep the rows of the k best models (``ranking`` is small: one row per model)."""
-    return rows.join(ranking.orderBy("rank").limit(k), key, "left_semi")
+def rows_of_top_models(rows: DataFrame, models: DataFrame, best: Sequence[Column], k: int,
+                       key: str = "model") -> DataFrame:
+    """Keep the rows of the k best models; the order takes the top k of each task first."""
+    return rows.join(models.orderBy(*best).limit(k).select(key), key, "left_semi")
 
 
 def union_splits(*parts: DataFrame) -> DataFrame:

@@ -93,22 +93,19 @@ def require_rows(df: DataFrame, path: str) -> DataFrame:
 
 def distinct_values(df: DataFrame, cols: list[str], fallback: dict[str, list[str]] | None = None
                     ) -> DataFrame:
-    """Sorted distinct trimmed non-empty values per column; a fallback list where none exist.
+    """Rows (column_name, choice): distinct trimmed non-empty values per column.
 
-    Duplicates go before values are gathered, so a list is as long as its domain.
+    A column without any has the values of its fallback list.
     """
     present = [c for c in cols if c in df.columns]
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"),
                                F.trim(F.col(c).cast("string")).alias("value")) for c in present])
-    lists = (
-        df.select(F.inline(pairs)).filter(F.col("value") != "").distinct()
-        .groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("choices"))
-    )
-    spare = fallback or {}
-    wanted = df.sparkSession.createDataFrame(
-        [(c, spare.get(c)) for c in cols], "column_name string, spare array<string>")
-    return wanted.join(lists, "column_name", "left").select(
-        "column_name", F.coalesce("choices", "spare").alias("choices"))
+    found = df.select(F.inline(pairs)).filter(F.col("value") != "").distinct()
+    spare = df.sparkSession.createDataFrame(
+        [(c, v) for c, values in (fallback or {}).items() if c in cols for v in values],
+        "column_name string, value string")
+    spare = spare.join(found.select("column_name").distinct(), "column_name", "left_anti")
+    return found.unionByName(spare).withColumnRenamed("value", "choice")
 
 
 def adapt_reservations(df: DataFrame) -> DataFrame:

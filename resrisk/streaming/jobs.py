@@ -27,9 +27,9 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str
-                  ) -> None:
-    query = stream.writeStream.foreachBatch(write).option(
+def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
+                  mode: str = "append") -> None:
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -42,8 +42,20 @@ def batch_folder(out: str, prepare: Callable[[DataFrame], DataFrame]):
     return write
 
 
+def day_folders(out: str, day: str = "day"):
+    """Writer for update mode: the days of a batch replace the same days of earlier batches.
+
+    A batch must hold all rows of a day, as figures of whole windows do.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            day).parquet(out)
+
+    return write
+
+
 def kpi_windows(events: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Live counts per day and type; a window is emitted once it is closed."""
+    """Live counts per day and type; in append mode a window is emitted once it is closed."""
     return events.withWatermark("ts", delay).groupBy(
         F.window("ts", width).alias("w"), "event_type"
     ).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
