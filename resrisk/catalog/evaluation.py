@@ -41,7 +41,7 @@ def split_scored(spark, sf):
 
 
 def test_rows(spark, sf):
-    return split_scored(spark, sf).filter("split = 'test'")
+    return splits.time_rows(scored(spark, sf), DAY, KEYS, "test")
 
 
 SPLIT = POSITIONED + """,

@@ -16,7 +16,7 @@ from ..session import shared_folder, written_table
 from ..sources.star_schema import KEYS, POLICIES, cleaned, scored
 from ..streaming import jobs
 from .base import CLEAN, SCORED, auc_sql, confusion_sql, long_form, register, with_ctes
-from .evaluation import PREDICTED, SPLIT, predictions, split_scored
+from .evaluation import PREDICTED, SPLIT, predictions, split_scored, test_rows
 
 KEY_SQL = ", ".join(KEYS)
 CATS, NUMS = CATEGORICAL_FEATURES, NUMERIC_FEATURES
@@ -535,7 +535,7 @@ SELECT risk_tier, CASE WHEN cancel_probability >= 0.41 THEN 1 ELSE 0 END AS labe
 FROM predictions GROUP BY ALL"""), dbl="residual:3")
 register("p2_export_scored_test",
          lambda spark, sf: scoring.scored_export(
-             split_scored(spark, sf).filter("split = 'test'"), POLICIES).select(
+             test_rows(spark, sf), POLICIES).select(
                  *KEYS, P, "risk_tier", *[f"predicted_cancel_{n}" for n in POLICIES]),
          with_ctes(SPLIT, body=f"""
 SELECT {KEY_SQL}, cancel_probability, risk_tier, """ + ", ".join(

@@ -14,7 +14,7 @@ TIERS = ["low", "medium", "high"]
 
 def flagship(spark, sf):
     df = scored(spark, sf)
-    test = splits.time_split(df, "arrival_date", KEYS).filter("split = 'test'")
+    test = splits.time_rows(df, "arrival_date", KEYS, "test")
     return cost.tier_business_summary(test)
 
 

@@ -245,24 +245,46 @@ class CutKeys:
                  for r in ranked.filter(hit).collect()}
         self.at = {p: (d, *found[(d, off)]) for p, (d, off) in targets.items()}
 
+    def _cut(self, position: int) -> tuple[dt.date, Column]:
+        """Day of the row at a position, and whether a row of that day comes before it."""
+        day, *keys = self.at[position]
+        cut = [F.lit(v).cast(t).alias(c) for v, t, c in zip(keys, self.types[1:], self.keys)]
+        return day, F.struct(*self.keys) < F.struct(*cut)
+
     def before(self, position: int) -> Column:
-        """True for the first ``position`` rows."""
+        """True for the first ``position`` rows; false, or null without a day, for the others.
+
+        The comparison of the day stands alone beside the rest, so it reaches the scan.
+        """
         if position <= 0:
             return F.lit(False)
         if position >= self.n:
             return F.lit(True)
-        names = [self.day, *self.keys]
-        row = F.struct(_day(self.day).alias(self.day), *self.keys)
-        cut = [F.lit(v).cast(t).alias(c) for v, t, c in zip(self.at[position], self.types, names)]
-        return row < F.struct(*cut)
+        last, earlier = self._cut(position)
+        day = F.col(self.day)
+        if last == LAST_DAY:
+            return day.isNotNull() | earlier
+        return (day <= last) & ((day < last) | earlier)
+
+    def after(self, position: int) -> Column:
+        """True for the rows from ``position`` on, those without a day included."""
+        if position <= 0:
+            return F.lit(True)
+        if position >= self.n:
+            return F.lit(False)
+        first, earlier = self._cut(position)
+        day = F.col(self.day)
+        if first == LAST_DAY:
+            return day.isNull() & ~earlier
+        return (day.isNull() | (day >= first)) & (day.isNull() | (day > first) | ~earlier)
 
     def within(self, start: int, end: int) -> Column:
-        return ~self.before(start) & self.before(end)
+        return self.after(start) & self.before(end)
 
     def label(self, starts: Sequence[int]) -> Column:
         """1-based number of the contiguous bucket, given ascending bucket starts."""
         return reduce(
-            lambda acc, s: acc + (~self.before(s)).cast("int"), starts[1:], F.lit(1)
+            lambda acc, s: acc + self.after(s).cast("int"), starts[1:], F.lit(1)
         ).cast("bigint")
 
 

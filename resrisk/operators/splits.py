@@ -113,6 +113,15 @@ def time_split(df: DataFrame, day: str, keys: Sequence[str], train_ratio: float
     return df.withColumn("split", label.otherwise("test"))
 
 
+def time_rows(df: DataFrame, day: str, keys: Sequence[str], split: str,
+              train_ratio: float = C.TRAIN_RATIO, val_ratio: float = C.VAL_RATIO) -> DataFrame:
+    """The rows of one split of `time_split`, by a filter on the day that reaches the scan."""
+    cuts = CutKeys(df, day, keys, lambda n: split_ends(n, train_ratio, val_ratio))
+    train_end, val_end = split_ends(cuts.n, train_ratio, val_ratio)
+    start, end = {"train": (0, train_end), "val": (train_end, val_end), "test": (val_end, cuts.n)}[split]
+    return df.filter(cuts.within(start, end)).withColumn("split", F.lit(split))
+
+
 def split_summary(df: DataFrame, day: str, n_features: int = len(C.FEATURES)) -> DataFrame:
     return df.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(day).alias("first_day"),
