@@ -220,6 +220,7 @@ class CutKeys:
         )
         per_day.sort(key=lambda r: r["d"])
         self.n = sum(r["n"] for r in per_day)
+        self.all_have_days = not any(r["d"] == LAST_DAY for r in per_day)
         wanted = sorted({p for p in positions(self.n) if 0 <= p < self.n})
         targets, start, i = {}, 0, 0
         for row in per_day:
@@ -276,6 +277,8 @@ class CutKeys:
         day = F.col(self.day)
         if first == LAST_DAY:
             return day.isNull() & ~earlier
+        if self.all_have_days:
+            return (day >= first) & ((day > first) | ~earlier)
         return (day.isNull() | (day >= first)) & (day.isNull() | (day > first) | ~earlier)
 
     def within(self, start: int, end: int) -> Column:
