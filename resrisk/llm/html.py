@@ -190,6 +190,8 @@ def style_trees(pages: DataFrame, html: str = "html", decay: float = 0.9) -> Dat
         F.struct(F.lit("content").alias("kind"), F.col("content").alias("value"))))
     values = rows.select("host", "path", kinds.alias("k")).filter("k.value IS NOT NULL").groupBy(
         "host", "path", "k.kind", "k.value").agg(F.count(F.lit(1)).alias("n"))
+    # Read twice below: the pages are parsed once for it.
+    values = written_table(values, "llm-html-values")
     per_kind = values.groupBy("host", "path", "kind").agg(
         F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.when(F.col("total") > 1, (F.log("total") - F.col("nlogn") / F.col("total")) / F.log("total")).otherwise(1.0)
@@ -255,6 +257,8 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", least:
         F.max("importance").alias("_best"))
     site = low.groupBy(F.col("host").alias("_site")).agg(F.collect_list("path").alias("_low")).join(varied, "_site", "left")
     site = site.select("_site", "_low", (F.coalesce("_best", F.lit(0.0)) >= 0.5).alias("_varied"))
+    # As a table of its own it joins by size, and a host of many pages can be split in the join.
+    site = written_table(site, "llm-html-sites")
     kept = [c for c in pages.columns if c != "text"]
     joined = rows.select(*[F.col(f"`{c}`") for c in kept], "_host").join(site, F.col("_host") == F.col("_site"), "left")
 
