@@ -195,24 +195,27 @@ def _verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
 _BLOCK = 1024
 
 
-def _rest_of_buckets(now: DataFrame, slots: DataFrame, least: float, slots_each: int) -> DataFrame:
-    """Pairs (a, b) of a bucket that are in different components and may be linked.
+def _rest_of_buckets(now: DataFrame, facts: DataFrame, least: float, bands: int, rows_each: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket, at least one if there is any.
 
     In each bucket every member outside the largest component meets all members of other
-    components. Bucket members are dealt into blocks of bounded size and a block compares
-    signatures: a pair goes on if the slots that agree are no fewer than five standard deviations
-    below what a similarity of `least` has.
+    components. Bucket members are dealt into blocks of bounded size. A block compares signatures
+    first: a pair goes on if the slots that agree are no fewer than five standard deviations below
+    what a similarity of `least` has, and if no earlier band agrees, where the pair meets too. Then
+    it verifies on the bags, likeliest first, until a member is linked to the other component: for
+    the classes one link does. `facts` has cid, bag and _slots.
     """
+    slots_each = bands * rows_each
     sizes = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n"))
     heads = sizes.groupBy("bucket").agg(
         F.max(F.struct("_n", "component")).alias("_main"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_parts"))
     heads = heads.filter("_parts > 1").select(
         "bucket", F.col("_main.component").alias("_main"), F.ceil(F.col("_all") / _BLOCK).alias("_wide"),
         F.ceil((F.col("_all") - F.col("_main._n")) / _BLOCK).alias("_high"))
-    rows = now.join(heads, "bucket").join(slots, "cid")
+    rows = now.join(heads, "bucket").join(facts, "cid")
     deal = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keep = ["bucket", "cid", "component", "_slots"]
+    keep = ["bucket", "band", "cid", "component", "_slots", "bag"]
     outside = rows.filter("component != _main").select(
         *keep, F.lit(True).alias("outside"), deal("_high", 1).alias("i"), every("_wide").alias("j"))
     others = rows.select(*keep, F.lit(False).alias("outside"), every("_high").alias("i"), deal("_wide", 2).alias("j"))
@@ -222,14 +225,24 @@ def _rest_of_buckets(now: DataFrame, slots: DataFrame, least: float, slots_each:
         side = block["outside"].to_numpy()
         cid, component = block["cid"].to_numpy(), block["component"].to_numpy()
         table = np.frombuffer(b"".join(block["_slots"].to_pylist()), np.uint16).reshape(len(cid), -1)
+        bags, first = block["bag"], int(block["band"][0].as_py()) * rows_each
         a, b = [], []
         for x in np.flatnonzero(side):
             y = np.flatnonzero(~side & (component != component[x]))
-            y = y[(table[y] == table[x]).sum(1) >= bound]
-            a.append(np.minimum(cid[x], cid[y]))
-            b.append(np.maximum(cid[x], cid[y]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+            same = table[y] == table[x]
+            agree = same.sum(1)
+            met = same[:, :first].reshape(len(y), -1, rows_each).all(2).any(1) if first else np.zeros(len(y), bool)
+            on = np.flatnonzero((agree >= bound) & ~met)
+            mine, linked = None, set()
+            for i in on[np.argsort(-agree[on], kind="stable")]:
+                if component[y[i]] in linked:
+                    continue
+                mine = mine or _load(bags[int(x)].as_py())
+                if similarity(mine, _load(bags[int(y[i])].as_py())) >= least:
+                    linked.add(component[y[i]])
+                    a.append(cid[x])
+                    b.append(cid[y[i]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return outside.unionByName(others).groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
@@ -247,8 +260,8 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     In a bucket of equal bands members are compared to one leader, so a bucket of n documents
     gives n pairs. Members that are not yet in a leader's class are compared to a few other
     leaders of the bucket in the next rounds. After `leader_rounds` all that is left, pairs of a
-    bucket in different classes and not yet compared, goes through `_rest_of_buckets`: no bucket
-    is capped, and a linked pair is passed over with a probability below 1e-6.
+    bucket in different classes, goes through `_rest_of_buckets`: no bucket is capped, and a
+    linked pair is passed over with a probability below 1e-6.
 
     `class_id` is the smallest key of the class, and the document with that key is kept. A text
     without words equals every other such text, null included. Rows that repeat key and text are
@@ -260,7 +273,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
         F.min(key).alias("_first"), F.count(F.lit(1)).alias("_copies"), F.first("_bands").alias("_bands"),
         F.first("_slots").alias("_slots"))
     classes = written_table(classes.withColumn("cid", F.monotonically_increasing_id()), "llm-near-nodes")
-    banded = classes.select("cid", F.explode("_bands").alias("bucket"))
+    banded = classes.select("cid", F.posexplode("_bands").alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
     members = written_table(banded.join(full, "bucket"), "llm-near-members")
     wanted = classes.join(members.select("cid").distinct(), "cid").select("cid", "_k1", "_k2", "_first")
@@ -271,7 +284,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
         now = members.withColumn("component", F.col("cid"))
         if found is not None:
             now = members.join(found, F.col("cid") == F.col("node"), "left").select(
-                "bucket", "cid", F.coalesce("component", "cid").alias("component"))
+                "bucket", "band", "cid", F.coalesce("component", "cid").alias("component"))
         if turn < leader_rounds:
             # The first order is the same in all buckets, so most members meet one leader only.
             orders = [F.xxhash64("cid", "bucket", F.lit(turn), F.lit(i)) for i in range(leaders)] if turn else [F.col("cid")]
@@ -283,7 +296,13 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
             pairs = now.join(heads, "bucket").filter(F.col("component") != F.col("_head.component")).select(
                 F.least("cid", "_head.cid").alias("a"), F.greatest("cid", "_head.cid").alias("b"))
         else:
-            pairs = _rest_of_buckets(now, classes.select("cid", "_slots"), least, bands * rows)
+            facts = bags.join(classes.select("cid", "_slots"), "cid")
+            checked = _rest_of_buckets(now, facts, least, bands, rows).withColumn("linked", F.lit(True))
+            checked = written_table(checked, "llm-near-checked")
+            if not checked.isEmpty():
+                links = tested.filter("linked").unionByName(checked)
+                found = written_table(components(links), "llm-near-components")
+            break
         new = pairs.distinct()
         if turn:
             new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
