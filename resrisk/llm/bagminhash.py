@@ -161,22 +161,56 @@ def _signed(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: i
         sign, f"`{key}` {kind}, _k1 bigint, _k2 bigint, _bands array<bigint>, _slots binary")
 
 
+def _with_marks(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """`docs` with the two marks of each text's bag."""
+    @F.pandas_udf("_k1 bigint, _k2 bigint")
+    def marks(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hasher = _Hasher()
+        for part in texts:
+            found = [_marks(b) for b in _bags(pa.array(part, pa.string(), from_pandas=True), size, hasher)]
+            yield pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["_k1", "_k2"])
+
+    return docs.withColumn("_both", marks(F.col(text))).select(
+        *[F.col(f"`{c}`") for c in docs.columns], "_both._k1", "_both._k2")
+
+
+#: Documents that a task remembers to have passed on.
+_SEEN = 100_000
+
+
 def _bag_table(wanted: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(cid, bag) of the wanted classes, from the text of each class's first document."""
+    """(cid, bag) of the wanted classes, from the text of each class's first document.
+
+    Documents are found by key and marks, so different texts of one key do not meet. A task passes
+    on a document that repeats key and bag once (as long as it remembers it).
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen = _Hasher(), {}
+        for batch in batches:
+            marks = np.array([_marks(b) for b in _bags(batch.column(1), size, hasher)], np.int64).reshape(-1, 2)
+            fresh = []
+            for who in zip(batch.column(0).to_pylist(), *marks.T.tolist()):
+                fresh.append(who not in seen)
+                seen[who] = None
+                if len(seen) > _SEEN:
+                    seen.pop(next(iter(seen)))
+            yield pa.record_batch(
+                [batch.column(0), pa.array(marks[:, 0]), pa.array(marks[:, 1]), batch.column(1)],
+                names=["_key", "_k1", "_k2", "_text"]).filter(pa.array(fresh, pa.bool_()))
+
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = list(_bags(part.column(3), size, hasher))
-                marks = [_marks(b) for b in got]
-                # Another document with the same key is told apart by its bag.
-                same = [m == (a, b) for m, a, b in zip(marks, part.column(1).to_pylist(), part.column(2).to_pylist())]
-                yield pa.record_batch([part.column(0).filter(pa.array(same)), pa.array(
-                    [_dump(b) for b, s in zip(got, same) if s], pa.binary())], names=["cid", "bag"])
-
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    found = wanted.join(texts, F.col("_first").eqNullSafe(F.col("_key"))).select("cid", "_k1", "_k2", "_text")
+                yield pa.record_batch([part.column(0), pa.array(
+                    [_dump(b) for b in _bags(part.column(1), size, hasher)], pa.binary())], names=["cid", "bag"])
+
+    texts = docs.select(key, text).mapInArrow(marked, f"_key {kind}, _k1 bigint, _k2 bigint, _text string")
+    same = F.col("_first").eqNullSafe(F.col("_key")) & (wanted["_k1"] == texts["_k1"]) & (wanted["_k2"] == texts["_k2"])
+    found = wanted.join(texts, same).select("cid", "_text")
     return found.mapInArrow(bags, "cid bigint, bag binary").dropDuplicates(["cid"])
 
 
@@ -247,25 +281,12 @@ def _rest_of_buckets(now: DataFrame, facts: DataFrame, least: float, bands: int,
     return outside.unionByName(others).groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8,
-                 bands: int = 25, rows: int = 5, leader_rounds: int = 3, leaders: int = 4) -> DataFrame:
-    """One row per document: key, `class_id`, `class_size` and `kept`.
-
-    Documents are linked if the weighted Jaccard similarity of their bags of `shingle` lower-cased
-    words is `least` or more; a class is a connected component. Documents of equal bags are one
-    node from the start, however many. Others are candidates if a band of `rows` signature slots
-    agrees (a pair at 0.8 is missed by all 25 bands with a probability of 5e-5), and every link is
-    verified on the bags themselves.
-
-    In a bucket of equal bands members are compared to one leader, so a bucket of n documents
-    gives n pairs. Members that are not yet in a leader's class are compared to a few other
-    leaders of the bucket in the next rounds. After `leader_rounds` all that is left, pairs of a
-    bucket in different classes, goes through `_rest_of_buckets`: no bucket is capped, and a
-    linked pair is passed over with a probability below 1e-6.
+def _classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8,
+             bands: int = 25, rows: int = 5, leader_rounds: int = 3, leaders: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The documents (key and marks of the bag), and `class_id`, `class_size` and `best` of each bag.
 
-    `class_id` is the smallest key of the class, and the document with that key is kept. A text
-    without words equals every other such text, null included. Rows that repeat key and text are
-    one document, marked alike. Other input columns are left out. An empty table gives an empty one.
+    Of the bags of a class one is the best: that of the document to keep. Method and options as in
+    `near_classes`.
     """
     spark = docs.sparkSession
     signed = written_table(_signed(docs, key, text, shingle, bands, rows), "llm-near-signed")
@@ -318,15 +339,54 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     nodes = classes.select("_k1", "_k2", "_first", "_copies", "cid")
     if found is not None:
         nodes = nodes.join(found, F.col("cid") == F.col("node"), "left").withColumn("cid", F.coalesce("component", "cid"))
-    sizes = nodes.groupBy("cid").agg(F.min("_first").alias("class_id"), F.sum("_copies").alias("class_size"))
-    nodes = written_table(nodes.join(sizes, "cid").select("_k1", "_k2", "class_id", "class_size"), "llm-near-classes")
+    # A null key is no class's smallest if there is another.
+    first = F.min(F.struct(F.col("_first").isNull().alias("none"), F.col("_first").alias("id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
+    sizes = nodes.groupBy("cid").agg(first.alias("_best"), F.sum("_copies").alias("class_size"))
+    best = (F.col("_k1") == F.col("_best.k1")) & (F.col("_k2") == F.col("_best.k2"))
+    nodes = nodes.join(sizes, "cid").select("_k1", "_k2", F.col("_best.id").alias("class_id"), "class_size", best.alias("best"))
+    nodes = written_table(nodes, "llm-near-classes")
     drop_written(spark, members, bags, prefix="llm-near-pairs")
-    result = signed.select(key, "_k1", "_k2").join(nodes, ["_k1", "_k2"])
-    return result.select(key, "class_id", "class_size", F.col(key).eqNullSafe(F.col("class_id")).alias("kept"))
+    return signed.select(key, "_k1", "_k2"), nodes
+
+
+def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """One row per document: key, `class_id`, `class_size` and `kept`.
+
+    Documents are linked if the weighted Jaccard similarity of their bags of `shingle` lower-cased
+    words is `least` or more; a class is a connected component. Documents of equal bags are one
+    node from the start, however many. Others are candidates if a band of `rows` signature slots
+    agrees (a pair at 0.8 is missed by all 25 bands with a probability of 5e-5), and every link is
+    verified on the bags themselves.
+
+    In a bucket of equal bands members are compared to one leader, so a bucket of n documents
+    gives n pairs. Members that are not yet in a leader's class are compared to a few other
+    leaders of the bucket in the next rounds. After `leader_rounds` all that is left, pairs of a
+    bucket in different classes, goes through `_rest_of_buckets`: no bucket is capped, and a
+    linked pair is passed over with a probability below 1e-6.
+
+    `class_id` is the smallest key of the class, null if it has none, and the document with that
+    key is kept; if different bags of the class share it, that with the smallest marks. A document
+    is a key and a bag: different texts of one key are judged apart, also without a key. Rows that
+    repeat both are one document, marked alike. A text without words equals every other such text,
+    null included. Other input columns are left out. An empty table gives an empty one.
+
+    Options: `shingle`, `least`, `bands`, `rows`, `leader_rounds` and `leaders`.
+    """
+    signed, nodes = _classes(docs, text, key, **options)
+    kept = F.col("best") & F.col(key).eqNullSafe(F.col("class_id"))
+    return signed.join(nodes, ["_k1", "_k2"]).select(key, "class_id", "class_size", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One document of each class, with the columns of `docs`; repeated rows of it go too."""
-    kept = near_classes(docs, text, key, **options).filter("kept")
-    kept = written_table(kept.select(F.col(key).alias("_kept_key")).distinct(), "llm-near-kept")
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept_key")), "left_semi").dropDuplicates([key])
+    """One document of each class, with the columns of `docs`; rows that repeat its key and bag go too.
+
+    Rows are told apart by key and bag, so different texts that share a key, or have none, are
+    each decided on their own. Options as in `near_classes`.
+    """
+    _, nodes = _classes(docs, text, key, **options)
+    kept = nodes.filter("best").select(F.col("class_id").alias("_kept_key"), F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2"))
+    marked = _with_marks(docs, text, options.get("shingle", 5))
+    # Repeated rows are merged before they meet the kept ones, in part where they lie.
+    once = marked.dropDuplicates([key, "_k1", "_k2"])
+    same = F.col(key).eqNullSafe(F.col("_kept_key")) & (F.col("_k1") == F.col("_b1")) & (F.col("_k2") == F.col("_b2"))
+    return once.join(kept, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

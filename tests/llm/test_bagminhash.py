@@ -85,3 +85,37 @@ def test_repeated_rows_null_keys_and_empty(spark):
     rows = bagminhash.near_classes(docs).collect()
     assert sorted(str(r["class_size"]) for r in rows) == ["1", "1", "2", "2"]
     assert bagminhash.near_classes(docs.limit(0)).count() == 0
+
+
+def test_drop_near_copies_by_row(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "other text here"),
+            (None, "no id one"), (None, "no id two"), (None, "no id two"), (None, None), (None, " "),
+            # Near copies: of a kept row with the same key, of each other without a key, and of a row with a key.
+            (7, base), (7, base + " tail"), (8, base + " end"), (None, base + " more"),
+            (None, base.replace("w", "v")), (None, base.replace("w", "v") + " x"),
+            # A clean text whose key is that of a row that goes.
+            (8, "text of its own")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, row int")
+    left = bagminhash.drop_near_copies(docs.repartition(3))
+    assert left.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    texts = [t for k, t in got]
+    assert {(5, "a b c d e f"), (5, "other text here"), (None, "no id one"), (None, "no id two"), (8, "text of its own")} <= set(got)
+    assert len(got) == 8 and len([t for t in texts if not (t or "").strip()]) == 1
+    assert [k for k, t in got if t and t.startswith("w0 ")] == [7]
+    assert len([t for t in texts if t and t.startswith("v0 ")]) == 1
+    # The marks say the same, one document a class.
+    kept = [r for r in bagminhash.near_classes(docs).collect() if r["kept"]]
+    assert len(kept) == 8 + 3  # two repeated rows and the second text without words are marked alike
+
+
+def test_bags_of_one_key_do_not_meet(spark):
+    docs = spark.createDataFrame([(None, f"x{i} y z u v {i % 2}") for i in range(200)], "doc_id bigint, text string")
+    marked = bagminhash._with_marks(docs, "text", 5)
+    wanted = marked.selectExpr("monotonically_increasing_id() AS cid", "_k1", "_k2", "doc_id AS _first")
+    bags = bagminhash._bag_table(wanted, docs, "doc_id", "text", 5)
+    plan = bags._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    assert "_k1" in join and "_k2" in join
+    assert bags.count() == 200
