@@ -16,21 +16,9 @@ def _survivors(groups: DataFrame, slot: Column) -> DataFrame:
     ).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
 
 
-def group_copies(docs: DataFrame, text: str = "text", key: str = "doc_id",
-                 prefix_chars: int = 256, filter_bits: int = 1 << 24) -> DataFrame:
-    """Every row of `docs` with `keep_id`, `group_size` and `kept`.
-
-    Rows are grouped by length and prefix hash first. Only rows of groups with two rows or more
-    have their whole text hashed (SHA-256): a bitmap of the surviving groups, of fixed size
-    whatever the input, tells them apart where the text is read, so that no text is moved. A
-    false hit of the bitmap costs one hash and changes nothing. Groups are counted with partial
-    aggregates, so a group of a third of all rows is one row per task.
-
-    A null text counts as empty. Of equal texts the row with the largest key stays; a null key
-    is smaller than any other. Rows that repeat both key and text are one document and are
-    marked alike; `drop_copies` keeps one of them. Input columns called as the three results are
-    replaced. An empty table gives an empty one.
-    """
+def _grouped(docs: DataFrame, text: str = "text", key: str = "doc_id",
+             prefix_chars: int = 256, filter_bits: int = 1 << 24) -> DataFrame:
+    """`group_copies` with `_full` besides, the full hash of the text where its group may have two rows."""
     out = ["keep_id", "group_size", "kept"]
     rows = docs.drop(*out).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumns({
@@ -60,17 +48,35 @@ def group_copies(docs: DataFrame, text: str = "text", key: str = "doc_id",
         "keep_id": F.when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col(key)),
         "group_size": F.coalesce("_size", F.lit(1).cast("long")),
     }).withColumn("kept", F.col(key).eqNullSafe(F.col("keep_id"))).select(
-        *[c for c in docs.columns if c not in out], *out)
+        *[c for c in docs.columns if c not in out], *out, "_full")
+
+
+def group_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """Every row of `docs` with `keep_id`, `group_size` and `kept`.
+
+    Rows are grouped by length and prefix hash first. Only rows of groups with two rows or more
+    have their whole text hashed (SHA-256): a bitmap of the surviving groups, of fixed size
+    whatever the input, tells them apart where the text is read, so that no text is moved. A
+    false hit of the bitmap costs one hash and changes nothing. Groups are counted with partial
+    aggregates, so a group of a third of all rows is one row per task.
+
+    A null text counts as empty. Of equal texts the row with the largest key stays; a null key
+    is smaller than any other. Rows that repeat both key and text are one document and are
+    marked alike; `drop_copies` keeps one of them. Input columns called as the three results are
+    replaced. An empty table gives an empty one. Options: `prefix_chars` and `filter_bits`.
+    """
+    return _grouped(docs, text, key, **options).drop("_full")
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One row of each group of equal texts, with the columns of `docs`.
 
-    Options as in `group_copies`.
+    Different texts stay apart where their groups keep the same key or none. Options as in
+    `group_copies`.
     """
     marked = docs.withColumn("_clash_free", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     marked = marked.select(F.col(key).alias("_key"), F.col(text).alias("_of"), "_clash_free")
-    kept = group_copies(marked, "_of", "_key", **options).filter("kept")
+    kept = _grouped(marked, "_of", "_key", **options).filter("kept")
     # A repeated row is in a group of two or more; rows alone in their group need no second look.
-    again = kept.filter("group_size > 1").dropDuplicates(["_key"])
+    again = kept.filter("group_size > 1").dropDuplicates(["_key", "_full"])
     return kept.filter("group_size = 1").unionByName(again).select("_clash_free.*")

@@ -167,6 +167,14 @@ def test_copies_of_repeated_rows_and_nulls(spark):
     assert exact.drop_copies(docs.limit(0)).count() == 0
 
 
+def test_groups_of_copies_that_share_a_key(spark):
+    rows = [(7, "t"), (7, "t"), (7, "u"), (7, "u"), (None, "v"), (None, "v"), (None, "w"), (None, "w"), (None, None), (None, ""), (3, "t"), (7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for options in ({}, {"filter_bits": 32_768, "prefix_chars": 4}):
+        got = sorted((str(r["doc_id"]), r["text"] or "") for r in exact.drop_copies(docs, **options).collect())
+        assert got == [("7", "t"), ("7", "u"), ("7", "x"), ("None", ""), ("None", "v"), ("None", "w")]
+
+
 # --- mixing -------------------------------------------------------------------------------
 
 def poisson(u, rate):
