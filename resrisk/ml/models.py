@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier,
@@ -18,11 +18,11 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from .. import config as C
-from ..operators.metrics import P, Y, auc_columns, auc_metrics, brier, descending_totals, ece
-from ..operators.ordering import unpivot
+from ..operators.metrics import P, Y, auc_metrics, brier, ece
+from ..operators.ordering import SLICES, slice_of, unpivot
+from ..session import written_table
 
 RARE = "OTHER"
 
@@ -282,45 +282,101 @@ def adr_residuals(df: DataFrame) -> DataFrame:
     return df.withColumns({"residual": F.round(e, 2), "abs_residual": F.round(F.abs(e), 2)})
 
 
-def poisson_draws(seed: int, replicates: int):
-    """Poisson counts per replicate for a group of ``n`` equal rows, from a per-group generator.
+#: Replicates that a task draws at once, and groups of rows drawn before they are summed.
+_CHUNK, _DRAWN = 250, 1024
+
+
+def poisson_draws(seed: int, chunk: int, replicates: int, keys: Sequence[int], sizes: Sequence[int]) -> np.ndarray:
+    """Poisson counts (groups x replicates) of one chunk of replicates for groups of equal rows.
 
     A row of a bootstrap sample is drawn Poisson(1) times, so a group of n rows Poisson(n) times.
     The generator is seeded by the group's own value: a repeated task draws the same counts.
     """
-    @F.pandas_udf(ArrayType(LongType()))
-    def draw(key: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([
-            np.random.default_rng([seed, int(k) & 0x7FFFFFFFFFFFFFFF]).poisson(c, replicates)
-            for k, c in zip(key, n)])
-
-    return draw
+    return np.array([
+        np.random.default_rng([seed, int(k) & 0x7FFFFFFFFFFFFFFF, chunk]).poisson(n, replicates)
+        for k, n in zip(keys, sizes)], np.int64).reshape(-1, replicates)
 
 
-def bootstrap_aucs(df: DataFrame, scores: Sequence[str], replicates: int = 100, seed: int = 42
-                   ) -> DataFrame:
-    """Both AUCs of several scores per replicate, on shared draws.
+def bootstrap_aucs(df: DataFrame, scores: Sequence[str], replicates: int = C.BOOTSTRAP_REPLICATES,
+                   seed: int = 42, threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
+    """Both AUCs and F1 at `threshold` of several scores per replicate, on shared draws.
 
     Rows are first counted per distinct (scores, label), so the cost follows the number of
-    distinct scores, not of rows.
+    distinct scores, not of rows. Draws are arrays over a chunk of replicates: a slice of scores
+    makes them where it sums them, once for the totals of the slices above each slice and once for
+    the metrics, so they are neither stored nor shuffled. A replicate with one class has no AUC.
     """
     groups = df.groupBy(*scores, Y).agg(F.count(F.lit(1)).alias("n"))
-    drawn = groups.withColumn(
-        "draws", poisson_draws(seed, replicates)(F.xxhash64(*scores, Y), F.col("n")))
-    rows = drawn.select(*scores, Y, F.posexplode("draws").alias("replicate", "w")).filter("w > 0")
-    long = unpivot(rows, scores, ["replicate", Y, "w"], ("model", "score"), "double")
-    weighted = long.groupBy("model", "replicate", "score").agg(
-        F.sum(F.when(F.col(Y) == 1, F.col("w")).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(Y) == 0, F.col("w")).otherwise(0)).alias("neg"))
-    by = ["model", "replicate"]
-    # A replicate with one class has no AUC and is left out.
-    return descending_totals(weighted, by).groupBy(*by).agg(*auc_columns()).filter(
-        "roc_auc IS NOT NULL")
+    groups = written_table(groups.withColumn("key", F.xxhash64(*scores, Y)), "bootstrap-groups")
+    slices = min(SLICES, 1 + groups.count() // 2000)
+    long = unpivot(groups, scores, [Y, "n", "key"], ("model", "score"), "double")
+    long = long.withColumns({
+        "slice": slice_of(1 - F.col("score"), slices),
+        "score": F.coalesce("score", F.lit(float("-inf"))),
+        "chunk": F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // _CHUNK)))})
+    by = ["model", "chunk", "slice"]
+
+    def summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct scores from the highest on, and the drawn negatives and positives of each."""
+        chunk = rows["chunk"][0].as_py()
+        wide = min(_CHUNK, replicates - chunk * _CHUNK)
+        found, at = np.unique(-rows["score"].to_numpy(), return_inverse=True)
+        label, key, n = (rows[c].to_numpy() for c in (Y, "key", "n"))
+        for_score = np.zeros((2, len(found), wide), np.int64)
+        for i in range(0, len(key), _DRAWN):
+            part = slice(i, i + _DRAWN)
+            drawn = poisson_draws(seed, chunk, wide, key[part], n[part])
+            for y in (0, 1):
+                own = label[part] == y
+                np.add.at(for_score[y], at[part][own], drawn[own])
+        return -found, for_score
+
+    def total(rows: pa.Table) -> pa.Table:
+        neg, pos = summed(rows)[1].sum(axis=1)
+        return pa.table({**{c: rows[c].slice(0, 1) for c in by}, "neg": pa.array([neg]), "pos": pa.array([pos])})
+
+    def above(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("slice")
+        out = {c: rows[c] for c in by}
+        for c in ("neg", "pos"):
+            each = np.array(rows[c].to_pylist(), np.int64)
+            out[c] = pa.array(list(each.cumsum(axis=0) - each), pa.list_(pa.int64()))
+        return pa.table(out)
+
+    def parts(rows: pa.Table, offsets: pa.Table) -> pa.Table:
+        score, (neg, pos) = summed(rows)
+        cum_neg, cum_pos = (np.array(offsets[c][0].as_py()) + x.cumsum(axis=0) for c, x in (("neg", neg), ("pos", pos)))
+        hit = score >= threshold
+        first = rows["chunk"][0].as_py() * _CHUNK
+        wide = neg.shape[1]
+        return pa.table({
+            "model": pa.array([rows["model"][0].as_py()] * wide, pa.string()),
+            "replicate": pa.array(np.arange(first, first + wide, dtype=np.int32)),
+            "lost": (pos * (cum_neg - neg / 2)).sum(axis=0),
+            "steps": (pos * cum_pos / np.maximum(cum_pos + cum_neg, 1)).sum(axis=0),
+            "pos": pos.sum(axis=0), "neg": neg.sum(axis=0),
+            "tp": pos[hit].sum(axis=0), "fp": neg[hit].sum(axis=0)})
+
+    key = "model string, chunk int, slice int, neg array<bigint>, pos array<bigint>"
+    totals = long.groupBy(*by).applyInArrow(total, key)
+    offsets = totals.groupBy("model", "chunk").applyInArrow(above, key)
+    pieces = long.groupBy(*by).cogroup(offsets.groupBy(*by)).applyInArrow(
+        parts, "model string, replicate int, lost double, steps double, pos bigint, neg bigint, tp bigint, fp bigint")
+    names = ["lost", "steps", "pos", "neg", "tp", "fp"]
+    sums = pieces.groupBy("model", "replicate").agg(*[F.sum(c).alias(c) for c in names])
+    both = F.col("pos").cast("double") * F.col("neg")
+    # F1 is 0 where nothing is hit and nothing was to be hit.
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), F.lit(0.0))
+    return sums.select(
+        "model", "replicate",
+        F.when(both > 0, 1 - F.try_divide(F.col("lost"), both)).alias("roc_auc"),
+        F.when(both > 0, F.try_divide("steps", "pos")).alias("pr_auc"),
+        F.when(F.col("pos") + F.col("neg") > 0, f1).alias("f1"))
 
 
 def bootstrap_ci(aucs: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Percentile intervals (one row per replicate and model: small)."""
-    long = unpivot(aucs, ["roc_auc", "pr_auc"], ["model"], ("metric", "value"), "double")
+    long = unpivot(aucs, ["roc_auc", "pr_auc", "f1"], ["model"], ("metric", "value"), "double")
     return long.groupBy("model", "metric").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"),
         F.percentile("value", alpha / 2).alias("ci_low"),
@@ -329,7 +385,7 @@ def bootstrap_ci(aucs: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def paired_delta(aucs: DataFrame, champion: str, alpha: float = 0.05) -> DataFrame:
     """Champion minus challenger per metric: mean, interval and two-sided p-value."""
-    long = unpivot(aucs, ["roc_auc", "pr_auc"], ["model", "replicate"], ("metric", "value"),
+    long = unpivot(aucs, ["roc_auc", "pr_auc", "f1"], ["model", "replicate"], ("metric", "value"),
                    "double")
     best = long.filter(F.col("model") == champion).select(
         "replicate", "metric", F.col("value").alias("best"))

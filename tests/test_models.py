@@ -38,6 +38,27 @@ def test_bootstrap_brackets_the_point(rows):
         assert r["delta"] == 0 and r["p_value"] == 1.0
 
 
+def test_bootstrap_has_all_replicates_and_f1(rows):
+    import numpy as np
+
+    df = rows.withColumns({"good": F.round("x", 2), "rough": F.round("x", 1)})
+    aucs = models.bootstrap_aucs(df, ["good", "rough"], threshold=0.4).collect()
+    assert {(r["model"], r["replicate"]) for r in aucs} == {(m, i) for m in ("good", "rough") for i in range(2000)}
+    # One replicate by hand: each group of rows as often as drawn.
+    groups = df.groupBy("good", "rough", "is_canceled").count().withColumn(
+        "key", F.xxhash64("good", "rough", "is_canceled")).collect()
+    w = models.poisson_draws(42, 1, 250, [g["key"] for g in groups], [g["count"] for g in groups])[:, 7]
+    y = np.array([g["is_canceled"] for g in groups])
+    for r in (r for r in aucs if r["replicate"] == 257):
+        s = np.array([g[r["model"]] for g in groups])
+        wins = ((s[:, None] > s) + (s[:, None] == s) / 2)[y == 1][:, y == 0]
+        roc = w[y == 1] @ wins @ w[y == 0] / (w[y == 1].sum() * w[y == 0].sum())
+        ap = sum(w[(s == t) & (y == 1)].sum() * w[(s >= t) & (y == 1)].sum() / max(1, w[s >= t].sum()) for t in set(s)) / w[y == 1].sum()
+        f1 = 2 * w[(s >= 0.4) & (y == 1)].sum() / (w[s >= 0.4].sum() + w[y == 1].sum())
+        assert abs(r["roc_auc"] - roc) < 1e-9 and abs(r["pr_auc"] - ap) < 1e-9 and abs(r["f1"] - f1) < 1e-9
+    assert {r["metric"] for r in models.bootstrap_ci(models.bootstrap_aucs(df, ["good"], 20)).collect()} == {"roc_auc", "pr_auc", "f1"}
+
+
 def test_longest_name_wins(spark):
     df = spark.createDataFrame([("total_guests_2",), ("total_1",), ("zzz",)], "e string")
     got = [r[0] for r in df.select(
