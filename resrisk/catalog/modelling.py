@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from ..config import CATEGORICAL_FEATURES, NUMERIC_FEATURES, SEGMENT_DIMENSIONS, TARGET
+from ..config import BOOST_DEPTH, BOOST_ROUNDS, CATEGORICAL_FEATURES, NUMERIC_FEATURES, SEGMENT_DIMENSIONS, TARGET
 from ..ml import models
 from ..operators import adr, drift, gates, metrics, ordering, segments, splits, thresholds
 from ..operators.metrics import P, Y
@@ -22,9 +22,12 @@ KEY_SQL = ", ".join(KEYS)
 CATS, NUMS = CATEGORICAL_FEATURES, NUMERIC_FEATURES
 # The rate itself and what is computed from it are no inputs of its forecast.
 ADR_NUMS = [c for c in NUMS if c not in ("adr", "adr_per_person", "revenue_at_risk")]
-# Size of the models of the registered queries, so that all of them run within
-# minutes on one machine; `config` has the sizes that the library's functions take by default.
-SIZE = {"rounds": 20, "depth": 5}
+# The registered fits have the size that the library's functions take by default.
+SIZE = {"rounds": BOOST_ROUNDS, "depth": BOOST_DEPTH}
+# Curves of the grid: each over one size with the other as in `SIZE`.
+GRID_ROUNDS, GRID_DEPTHS = [50, 100, 200, 300], [2, 3, 5, 7]
+GRID = list(dict.fromkeys([*[(SIZE["depth"], r) for r in GRID_ROUNDS],
+                           *[(d, SIZE["rounds"]) for d in GRID_DEPTHS]]))
 GATED = list(SEGMENT_DIMENSIONS)
 # Stricter than the standing gates, so that some segments of the test data fall short.
 STRICT = [("roc_auc", 0.93), ("pr_auc", 0.86), ("f1", 0.80)]
@@ -204,11 +207,11 @@ register("m7_select_champion", _champion)
 
 
 def _grid(spark, sf):
-    """Depth and rounds over the rolling folds; a gap below 0.003 to the best is no difference."""
+    """Curves of rounds and depth over the rolling folds; a gap below 0.003 to the best is no difference."""
     df = prepared(spark, sf).filter("split != 'test'")
     cuts, folds = splits.fold_cuts(df, "arrival_date", KEYS, splits.rolling_folds)
     results = []
-    for depth, rounds in ((3, SIZE["rounds"] // 2), (3, SIZE["rounds"]), (SIZE["depth"], SIZE["rounds"] // 2)):
+    for depth, rounds in GRID:
         for fold in folds:
             train, test = splits.fold_parts(df, cuts, fold)
             m = models.fit_family(train, "gradient_boosting", CATS, NUMS, rounds=rounds, depth=depth)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators.metrics import P, Y, auc_metrics, brier, ece
 from ..operators.ordering import SLICES, slice_of, unpivot
-from ..session import written_table
+from ..session import shared_folder, written_table
 
 RARE = "OTHER"
 
@@ -113,6 +113,10 @@ def fit_family(train: DataFrame, family: str, cats: Sequence[str], nums: Sequenc
     The preprocessing is fitted on `train` alone. A boosted family with `validation` rows stops
     early on them.
     """
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # Boosting cuts the lineage of its predictions there; without it hundreds of rounds grow one.
+        context.setCheckpointDir(shared_folder(train.sparkSession))
     ratio = class_ratio(train).first()["ratio"]
     weigh = lambda df: as_numbers(df, nums).withColumn(
         "weight", F.when(F.col(Y) == 1, float(ratio)).otherwise(1.0))

@@ -64,3 +64,17 @@ def test_longest_name_wins(spark):
     got = [r[0] for r in df.select(
         models.raw_feature(F.col("e"), ["total", "total_guests"])).collect()]
     assert got == ["total_guests", "total", "_other"]
+
+
+def test_registered_fits_have_the_full_size():
+    from resrisk import config
+    from resrisk.catalog import modelling
+
+    assert modelling.SIZE == {"rounds": config.BOOST_ROUNDS, "depth": config.BOOST_DEPTH} == {"rounds": 100, "depth": 5}
+    assert set(modelling.GRID) == {(5, 50), (5, 100), (5, 200), (5, 300), (2, 100), (3, 100), (7, 100)}
+
+
+def test_long_boosting_cuts_its_lineage(spark, rows):
+    model = models.fit_family(rows, "gradient_boosting", [], ["x"], rounds=12, depth=2)
+    assert model.stages[-1].getNumTrees == 12
+    assert spark.sparkContext.getCheckpointDir() is not None
