@@ -16,13 +16,13 @@ from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, IsotonicRegression, LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators.metrics import P, Y, auc_metrics, brier, ece
 from ..operators.ordering import SLICES, slice_of, unpivot
-from ..session import shared_folder, written_table
+from ..session import scratch, scratch_path, shared_folder, written_table
 
 RARE = "OTHER"
 
@@ -127,7 +127,17 @@ def fit_family(train: DataFrame, family: str, cats: Sequence[str], nums: Sequenc
         rows = rows.withColumn("validation", F.lit(False)).unionByName(
             weigh(validation).withColumn("validation", F.lit(True)))
     model = estimator(family, early_stop=early, **kw).fit(ready.transform(rows))
-    return PipelineModel(stages=[*ready.stages, model])
+    return PipelineModel(stages=[*ready.stages, detached(model)])
+
+
+def detached(model):
+    """`model` without the training summary, which holds on to the session it was fitted in."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    with scratch():
+        path = scratch_path(SparkSession.active(), "model-detached")
+        model.save(path)
+        return type(model).load(path)
 
 
 def score(model: PipelineModel, df: DataFrame, nums: Sequence[str], name: str = P) -> DataFrame:

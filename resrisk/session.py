@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables written by `written_table` and not yet dropped: path -> label.
-_WRITTEN: dict[str, str] = {}
+
+class _Table(NamedTuple):
+    """A written table: its label, the scope it belongs to and the Hadoop path that removes it."""
+
+    label: str
+    owner: object
+    remove: Callable[[], None]
+
+
+#: Tables written by `written_table` and not yet removed, by path.
+_WRITTEN: dict[str, _Table] = {}
+#: The scope that written tables go to, and the scopes that lazy results need.
+_SCOPE: ContextVar[object] = ContextVar("scope", default=None)
+_NEEDED: weakref.WeakKeyDictionary[DataFrame, object] = weakref.WeakKeyDictionary()
 
 
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
@@ -72,26 +90,88 @@ def lean_actions(spark: SparkSession, batch_bytes: int = 8 << 20):
             spark.conf.set(key, value)
 
 
+def _remover(spark: SparkSession, path: str) -> Callable[[], None]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return lambda: where.getFileSystem(conf).delete(where, True)
+
+
+def _remove(paths: list[str]) -> None:
+    for path in paths:
+        _WRITTEN.pop(path).remove()
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_WRITTEN):
+        try:
+            _remove([path])
+        except Exception:  # the JVM has ended before
+            return
+
+
 def written_table(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading the table back.
 
-    Unlike a cached frame the table outlives any executor. `drop_written` removes it.
+    Unlike a cached frame the table outlives any executor. It belongs to the scope at work (see
+    `scratch` and `owning`) and goes with it; without one, when the process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    with lean_actions(spark):
+    path = scratch_path(df.sparkSession, label)
+    with lean_actions(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN[path] = label
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there belongs to the scope at work."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = _Table(label, _SCOPE.get(), _remover(spark, path))
+    return path
+
+
+@contextmanager
+def scratch():
+    """Tables written inside are removed at the end; results must have been stored by then."""
+    owner = object()
+    token = _SCOPE.set(owner)
+    try:
+        yield owner
+    finally:
+        _SCOPE.reset(token)
+        _remove([p for p, t in _WRITTEN.items() if t.owner is owner])
+
+
+def owning(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`fn` with tables of its own, which its lazy result needs until `release(result)`.
+
+    Inside `scratch` they belong to that scope besides and go with it.
+    """
+    @functools.wraps(fn)
+    def run(*args, **kwargs) -> DataFrame:
+        if _SCOPE.get() is not None:
+            return fn(*args, **kwargs)
+        owner = object()
+        token = _SCOPE.set(owner)
+        try:
+            result = fn(*args, **kwargs)
+        finally:
+            _SCOPE.reset(token)
+        _NEEDED[result] = owner
+        return result
+    return run
+
+
+def release(result: DataFrame) -> None:
+    """Remove the tables behind the result of an `owning` function, once it has been stored."""
+    owner = _NEEDED.pop(result, None)
+    if owner is not None:
+        _remove([p for p, t in _WRITTEN.items() if t.owner is owner])
 
 
 def drop_written(spark: SparkSession, *tables: DataFrame, prefix: str | None = None) -> None:
-    """Remove written tables: those given, or all whose label starts with `prefix`."""
-    names = [p for t in tables for p in _WRITTEN if any(p in f for f in t.inputFiles()[:1])]
+    """Remove written tables of the scope at work: those given, or all whose label starts with `prefix`."""
+    own = {p: t.label for p, t in _WRITTEN.items() if t.owner is _SCOPE.get()}
+    paths = [p for t in tables for p in own if any(p in f for f in t.inputFiles()[:1])]
     if prefix is not None:
-        names += [p for p, label in _WRITTEN.items() if label.startswith(prefix)]
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in dict.fromkeys(names):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
-        _WRITTEN.pop(name, None)
+        paths += [p for p, label in own.items() if label.startswith(prefix)]
+    _remove(list(dict.fromkeys(paths)))

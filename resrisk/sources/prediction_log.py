@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,10 +76,10 @@ def export_since(spark: SparkSession, path: str, out: str, since: str) -> int:
     """
     if not log_exists(spark, path):
         return 0
-    written = Observation()
-    rows = log_since(read_log(spark, path), since).observe(written, F.count(F.lit(1)).alias("n"))
-    rows.drop("dt").write.mode("overwrite").option("header", True).csv(out)
-    return written.get["n"]
+    rows = log_since(read_log(spark, path), since).drop("dt")
+    rows.write.mode("overwrite").option("header", True).csv(out)
+    # Counted from what was written: rows may be appended to the log meanwhile.
+    return spark.read.schema(rows.schema).option("header", True).option("multiLine", True).csv(out).count()
 
 
 def count_log(spark: SparkSession, path: str) -> int:

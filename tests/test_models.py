@@ -28,6 +28,18 @@ def test_logistic_ranks_and_calibrates(rows):
         models.fit_isotonic(scored.filter("is_canceled = 1"))
 
 
+def test_scoring_works_after_an_observed_export(spark, rows, tmp_path):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.csv(str(tmp_path / "out"))
+    assert seen.get["n"] == 800
+    df = models.merge_rare(rows, models.kept_levels(rows, ["c"]))
+    model = models.fit_family(df, "logistic", ["c"], ["x"])
+    assert not model.stages[-1].hasSummary
+    assert models.score(model, df, ["x"]).filter("cancel_probability is null").isEmpty()
+
+
 def test_bootstrap_brackets_the_point(rows):
     df = rows.withColumns({"good": F.col("x"), "same": F.col("x")})
     aucs = models.bootstrap_aucs(df, ["good", "same"], 30)

@@ -98,3 +98,18 @@ def test_written_tables_are_dropped(spark):
     path = table.inputFiles()[0]
     session.drop_written(spark, prefix="drop-me")
     assert not prediction_log.log_exists(spark, path) and math.isfinite(1.0)
+
+
+def test_lazy_results_keep_their_tables(spark):
+    read = session.owning(lambda n: session.written_table(spark.range(n), "llm-own"))
+    first, second = read(3), read(4)
+    session.drop_written(spark, prefix="llm-")
+    assert (first.count(), second.count()) == (3, 4)
+    path = first.inputFiles()[0]
+    session.release(first)
+    assert not prediction_log.log_exists(spark, path) and second.count() == 4
+    session.release(second)
+    with session.scratch():
+        inner = read(5)
+        path = inner.inputFiles()[0]
+    assert not prediction_log.log_exists(spark, path)
