@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_written
-from . import bagminhash, chat, exact, html, langid, mixing, packing, quality, suffix, urls
+from ..session import owning
+from . import bagminhash, chat, exact, html, langid, lines, mixing, packing, quality, suffix, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -26,12 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query; tables that an earlier one wrote to the shared folder go first."""
+    """Register a query; its tables in the shared folder stay until `session.release(result)`."""
     def put(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            drop_written(spark, prefix="llm-")
-            return fn(spark, sf_dir)
-        QUERIES[name] = run
+        QUERIES[name] = owning(fn)
         if sql:
             ORACLE[name] = sql
         return fn
@@ -142,3 +139,20 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     pages = html.extract_text(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_ASCII_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("op13_line_dedup", f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM split),
+keyed AS (SELECT *, translate(trim(line, {_ASCII_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+repeated AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT doc_id, line, i, keeper IS NOT NULL AND doc_id <> keeper AS gone FROM keyed LEFT JOIN repeated USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""")
+def op13(spark, sf_dir):
+    cut = lines.repeated_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
