@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import owning
-from . import bagminhash, chat, exact, html, langid, lines, mixing, packing, quality, suffix, urls
+from . import bagminhash, chat, exact, html, langid, lines, mixing, packing, quality, suffix, urls, whitening
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -156,3 +156,12 @@ FROM judged GROUP BY doc_id""")
 def op13(spark, sf_dir):
     cut = lines.repeated_lines(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = white.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error",
+                        F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "of"))
+    return each.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", F.col("of.whitened").alias("whitened"),
+                       F.col("of.explained").alias("explained"), "identity_error")
