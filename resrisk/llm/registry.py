@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import owning
-from . import bagminhash, chat, exact, html, langid, lines, mixing, packing, quality, suffix, urls, whitening
+from . import bagminhash, chat, exact, html, langid, lines, mixing, negatives, packing, quality, suffix, urls, whitening
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +165,26 @@ def op12(spark, sf_dir):
                         F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "of"))
     return each.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", F.col("of.whitened").alias("whitened"),
                        F.col("of.explained").alias("explained"), "identity_error")
+
+
+@query("op11_hard_negatives", """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+    CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM valid a JOIN valid r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+positives AS (SELECT * FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 10""")
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
