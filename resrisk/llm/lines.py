@@ -185,7 +185,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", lea
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept_cols]).alias("row"),
                        F.col(f"`{key}`").alias("_id"), mark.alias("_mark"))
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark"))
-    rows = rows.join(drops, same, "left").select("row", "drops")
+    # The same plan at every size; the lists are the smaller side of each partition.
+    rows = rows.join(drops.hint("shuffle_hash"), same, "left").select("row", "drops")
 
     @F.pandas_udf("text string, n_lines bigint, n_dropped bigint")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
