@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLE, QUERIES
 
-GROUPS = ["sources", "ordering", "evaluation", "analytics", "monitoring", "modelling"]
+GROUPS = ["sources", "ordering", "evaluation", "analytics", "monitoring", "modelling", "refits", "serving", "benchmark"]
 
 
 def _load() -> None:

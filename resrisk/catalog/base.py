@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import owning
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -157,7 +159,7 @@ def register(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str |
         return df.withColumns({c: F.round(c, d) + F.lit(0.0) for c, d in digits.items()})
 
     assert name not in QUERIES, name
-    QUERIES[name] = run
+    QUERIES[name] = owning(run)
     if sql:
         rounds = ", ".join(
             f"round(CAST({c} AS DOUBLE), {d}) + 0 AS {c}" for c, d in digits.items())

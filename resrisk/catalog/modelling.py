@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from functools import lru_cache
+import functools
 
 from pyspark.sql import functions as F
 
-from ..config import BOOST_DEPTH, BOOST_ROUNDS, CATEGORICAL_FEATURES, NUMERIC_FEATURES, SEGMENT_DIMENSIONS, TARGET
+from ..config import CATEGORICAL_FEATURES, NUMERIC_FEATURES, SEGMENT_DIMENSIONS, TARGET
 from ..ml import models
 from ..operators import adr, drift, gates, metrics, ordering, segments, splits, thresholds
 from ..operators.metrics import P, Y
 from ..plans import scoring
-from ..session import shared_folder, written_table
+from ..session import input_state, lasting, scratch_path, written_table
 from ..sources.star_schema import KEYS, POLICIES, cleaned, scored
 from ..streaming import jobs
 from .base import CLEAN, SCORED, auc_sql, confusion_sql, long_form, register, with_ctes
@@ -22,12 +21,6 @@ KEY_SQL = ", ".join(KEYS)
 CATS, NUMS = CATEGORICAL_FEATURES, NUMERIC_FEATURES
 # The rate itself and what is computed from it are no inputs of its forecast.
 ADR_NUMS = [c for c in NUMS if c not in ("adr", "adr_per_person", "revenue_at_risk")]
-# The registered fits have the size that the library's functions take by default.
-SIZE = {"rounds": BOOST_ROUNDS, "depth": BOOST_DEPTH}
-# Curves of the grid: each over one size with the other as in `SIZE`.
-GRID_ROUNDS, GRID_DEPTHS = [50, 100, 200, 300], [2, 3, 5, 7]
-GRID = list(dict.fromkeys([*[(SIZE["depth"], r) for r in GRID_ROUNDS],
-                           *[(d, SIZE["rounds"]) for d in GRID_DEPTHS]]))
 GATED = list(SEGMENT_DIMENSIONS)
 # Stricter than the standing gates, so that some segments of the test data fall short.
 STRICT = [("roc_auc", 0.93), ("pr_auc", 0.86), ("f1", 0.80)]
@@ -131,23 +124,47 @@ SELECT CASE WHEN country IN (SELECT country FROM best) THEN country ELSE 'Other'
 # --- M, fitted models ---------------------------------------------------------------------
 
 
-@lru_cache(maxsize=4)
-def prepared(spark, sf):
-    """Model table with its splits, written once and read by every fit."""
-    df = split_scored(spark, sf)
-    merged = models.merge_rare(df, models.kept_levels(df.filter("split = 'train'"), CATS))
+def shared(fn):
+    """What several queries use is made once for a session and the state of its tables.
+
+    It is kept for the last few states only, and made outside the scope of the query at work, so
+    that releasing one query's tables leaves it to the others.
+    """
+    kept = {}
+
+    @functools.wraps(fn)
+    def run(spark, sf, *args):
+        tables = ("lineitem", "orders", "customer", "part", "nation")
+        key = (spark.sparkContext.applicationId, sf, *args, *[input_state(spark, f"{sf}/{t}.parquet") for t in tables])
+        if key not in kept:
+            while len(kept) >= 64:
+                kept.pop(next(iter(kept)))
+            kept[key] = lasting(fn)(spark, sf, *args)
+        return kept[key]
+    return run
+
+
+@shared
+def whole(spark, sf):
+    """Bookings with their splits, the columns of the models, and the raw categories; written once."""
     names = dict.fromkeys([*KEYS, "arrival_date", TARGET, *CATS, *NUMS, "split"])
-    return written_table(merged.select(*names), "model-table")
+    return written_table(split_scored(spark, sf).select(*names), "model-rows")
+
+
+@shared
+def prepared(spark, sf):
+    """The model table: rare levels merged as the training rows have them; read by every fit."""
+    df = whole(spark, sf)
+    return written_table(models.merge_rare(df, models.kept_levels(df.filter("split = 'train'"), CATS)), "model-table")
 
 
 def part(spark, sf, name):
     return prepared(spark, sf).filter(F.col("split") == name)
 
 
-@lru_cache(maxsize=32)
+@shared
 def fitted(spark, sf, family):
-    return models.fit_family(part(spark, sf, "train"), family, CATS, NUMS,
-                             part(spark, sf, "val"), **SIZE)
+    return models.fit_family(part(spark, sf, "train"), family, CATS, NUMS, part(spark, sf, "val"))
 
 
 def family_scores(spark, sf, families, split="test"):
@@ -195,53 +212,6 @@ register("m5_isotonic_calibrate",
          lambda spark, sf: models.calibration_report(_calibrated(spark, sf), [P, "calibrated"]))
 
 
-def _champion(spark, sf):
-    df = prepared(spark, sf).filter("split != 'test'")
-    cuts, folds = splits.fold_cuts(df, "arrival_date", KEYS, splits.rolling_folds)
-    return models.select_champion(
-        df, folds, lambda f: splits.fold_parts(df, cuts, f), [*BOOSTED, "logistic"], CATS, NUMS,
-        **SIZE)
-
-
-register("m7_select_champion", _champion)
-
-
-def _grid(spark, sf):
-    """Curves of rounds and depth over the rolling folds; a gap below 0.003 to the best is no difference."""
-    df = prepared(spark, sf).filter("split != 'test'")
-    cuts, folds = splits.fold_cuts(df, "arrival_date", KEYS, splits.rolling_folds)
-    results = []
-    for depth, rounds in GRID:
-        for fold in folds:
-            train, test = splits.fold_parts(df, cuts, fold)
-            m = models.fit_family(train, "gradient_boosting", CATS, NUMS, rounds=rounds, depth=depth)
-            results.append((depth, rounds, metrics.auc_metrics(models.score(m, test, NUMS)).first()["pr_auc"]))
-    rows = spark.createDataFrame(results, "depth int, rounds int, pr_auc double").groupBy("depth", "rounds").agg(
-        F.count(F.lit(1)).alias("folds"), F.avg("pr_auc").alias("mean"), F.stddev_samp("pr_auc").alias("std"))
-    gap = rows.agg(F.max("mean")).scalar() - F.col("mean")
-    return rows.withColumn("gap", gap).withColumn("as_good", F.col("gap") < 0.003)
-
-
-register("m10_grid_eval", _grid)
-
-
-def _learning(spark, sf):
-    """The test metrics of models that know only the first part of the training rows."""
-    rows = None
-    df = prepared(spark, sf)
-    cuts, folds = splits.fold_cuts(df, "arrival_date", KEYS, splits.learning_folds)
-    for fold in folds:
-        train, test = splits.fold_parts(df, cuts, fold)
-        m = models.fit_family(train, "logistic", CATS, NUMS)
-        one = metrics.auc_metrics(models.score(m, test, NUMS)).withColumn(
-            "prefix", F.lit(fold.name))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
-
-
-register("m11_learning_curve", _learning)
-
-
 def _protocols(spark, sf):
     """Ten stratified folds against all rolling ones, on the same model."""
     # Written once: every fit reads it several times.
@@ -284,17 +254,6 @@ register("l3_bootstrap_ci", lambda spark, sf: models.bootstrap_ci(_boot(spark, s
 register("l4_paired_bootstrap", lambda spark, sf: models.paired_delta(_boot(spark, sf), P))
 
 
-def _family_significance(spark, sf):
-    """The first boosted family against every other one, on shared draws of the test rows."""
-    df, families = part(spark, sf, "test"), [*BOOSTED, *BASELINES]
-    for family in families:
-        df = models.score(fitted(spark, sf, family), df, NUMS, family)
-    return models.paired_delta(models.bootstrap_aucs(df, families), families[0])
-
-
-register("l5_significance_vs_champion", _family_significance)
-
-
 def _family_intervals(spark, sf):
     """Both AUCs and F1 of every family on the test rows with bootstrap intervals."""
     df, families = part(spark, sf, "test"), [*BOOSTED, *BASELINES]
@@ -306,34 +265,10 @@ def _family_intervals(spark, sf):
 register("m19_family_comparison", _family_intervals)
 
 
-def _permutation(spark, sf):
-    """AUC lost when one feature is shuffled: rows swap values along a hashed order."""
-    test = part(spark, sf, "test").withColumn("_u", splits.digest_share(
-        splits.shuffle_key(KEYS, 7)) * 1e9)
-    model = fitted(spark, sf, "logistic")
-    span = (0.0, 1e9)
-    place = lambda df, order, name: ordering.running_sums(
-        df, order, {name: F.lit(1)}, [ordering.span_slice(order[0], span)])
-    numbered = written_table(place(test, [F.col("_u"), *[F.col(k) for k in KEYS]], "_i"), "shuffle")
-    n = numbered.count()
-    rows = metrics.auc_metrics(models.score(model, test, NUMS)).select(
-        F.lit("none").alias("feature"), "roc_auc")
-    for feature in ("lead_time", "previous_cancellations"):
-        other = numbered.select(((F.col("_i") + n // 3) % n + 1).alias("_i"),
-                                F.col(feature).alias("_v"))
-        mixed = numbered.join(other, "_i").withColumn(feature, F.col("_v"))
-        rows = rows.unionByName(metrics.auc_metrics(models.score(
-            model, mixed.select(*test.columns), NUMS)).select(
-                F.lit(feature).alias("feature"), "roc_auc"))
-    return rows
-
-
-register("l11_permutation_importance", _permutation)
-
 # --- N -----------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=8)
+@shared
 def fitted_adr(spark, sf, family):
     return models.fit_adr(part(spark, sf, "train"), family, CATS, ADR_NUMS)
 
@@ -506,16 +441,6 @@ UNION ALL SELECT 'deduplicated', count(*), avg(is_canceled) FROM (SELECT DISTINC
     dbl="cancel_rate")
 
 
-def _capacity(spark, sf):
-    rows = family_scores(spark, sf, BOOSTED).select(
-        F.element_at(F.create_map(*[F.lit(x) for kv in zip(BOOSTED, (
-            "default", "matched", "champion")) for x in kv]), F.col("family")).alias("variant"),
-        "pr_auc")
-    return gates.capacity_gap(rows)
-
-
-register("o7_capacity_gap", _capacity)
-
 # --- P -----------------------------------------------------------------------------------------
 register("p1_score_and_enrich",
          lambda spark, sf: scoring.enrich_scores(
@@ -549,7 +474,7 @@ SELECT {KEY_SQL}, cancel_probability, risk_tier, """ + ", ".join(
 
 
 def _out(spark, label):
-    base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    base = scratch_path(spark, label)
     return f"{base}/out", f"{base}/checkpoint"
 
 

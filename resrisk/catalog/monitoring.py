@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import NUMERIC_FEATURES
 from ..operators import drift, ordering, splits, stats
 from ..operators.metrics import P, Y
 from ..sources.star_schema import KEYS, cleaned, scored
@@ -12,7 +13,7 @@ from .ordering import MODEL_FOLDS, model_folds
 
 T = 0.41
 NUM = ["lead_time", "adr", "total_stay"]
-CAT = ["market_segment", "deposit_type", "hotel", "customer_type", "meal"]
+CAT = ["country", "market_segment", "deposit_type", "customer_type", "agent", "hotel", "meal"]
 # Live rows arrive in 1999 or later.
 RECENT = "arrival_date_year >= 1999"
 
@@ -301,13 +302,12 @@ FROM (SELECT *, CASE WHEN k = 2 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE ab
 register("l1_chi2_p_values",
          lambda spark, sf: stats.chi2_independence(cleaned(spark, sf), CHI).select(
              "feature", "p_value", "significant"))
-CORR = ["lead_time", "adr", "total_stay", "total_guests", "previous_cancellations",
-        "total_of_special_requests", "is_repeated_guest", "month_sin"]
+CORR = NUMERIC_FEATURES
 register("l2_target_correlation",
          lambda spark, sf: stats.target_correlation(cleaned(spark, sf), CORR, k=5),
          with_ctes(CLEAN, "r AS (" + " UNION ALL ".join(
-             f"SELECT '{c}' AS feature, corr({c}, is_canceled) AS r FROM clean" for c in CORR)
-             + ")", body="SELECT * FROM r ORDER BY abs(r) DESC, feature LIMIT 5"), dbl="r")
+             f"SELECT '{c}' AS feature, CASE WHEN stddev_pop({c}) > 0 THEN corr({c}, is_canceled) END AS r FROM clean"
+             for c in CORR) + ")", body="SELECT * FROM r ORDER BY abs(r) DESC NULLS LAST, feature LIMIT 5"), dbl="r")
 register("l6_fold_summary",
          lambda spark, sf: stats.fold_summary(model_folds(spark, sf), "model",
                                               ["pr_auc", "roc_auc"]),

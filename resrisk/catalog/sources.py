@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..config import NUMERIC_FEATURES
 from ..functions import clean, rules
 from ..operators import ordering, stats
 from ..session import shared_folder
@@ -477,20 +478,18 @@ FROM scored GROUP BY ALL"""))
 
 def _families(spark, sf):
     """Mean absolute value of each numeric feature, grouped by family."""
-    cols = ["lead_time", "month_sin", "had_company", "adr", "previous_cancellations", "adults"]
-    long = ordering.unpivot(cleaned(spark, sf), cols, names=("feature", "value"), cast="double")
+    long = ordering.unpivot(cleaned(spark, sf), NUMERIC_FEATURES, names=("feature", "value"), cast="double")
     return long.groupBy("feature", rules.feature_family(F.col("feature")).alias("family")).agg(
         F.avg(F.abs("value")).alias("mean_abs"))
 
 
-register("c19_feature_family_label", _families, with_ctes(CLEAN, body="""
-SELECT 'lead_time' AS feature, 'Time' AS family, avg(abs(lead_time)) AS mean_abs FROM clean
-UNION ALL SELECT 'month_sin', 'Time', avg(abs(month_sin)) FROM clean
-UNION ALL SELECT 'had_company', 'Booking source', avg(abs(had_company)) FROM clean
-UNION ALL SELECT 'adr', 'Price', avg(abs(adr)) FROM clean
-UNION ALL SELECT 'previous_cancellations', 'Guest history', avg(abs(previous_cancellations))
-  FROM clean
-UNION ALL SELECT 'adults', 'Other', avg(abs(adults)) FROM clean"""), dbl="mean_abs")
+# Families of the numeric features; all others are `Other`.
+FAMILY_SQL = "CASE " + " ".join(
+    f"WHEN feature IN ({', '.join(repr(c) for c in names)}) THEN '{family}'" for family, names in rules.FEATURE_FAMILIES.items()
+) + " ELSE 'Other' END"
+register("c19_feature_family_label", _families, with_ctes(CLEAN, "long AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg(abs(CAST({c} AS DOUBLE))) AS mean_abs FROM clean" for c in NUMERIC_FEATURES) + ")",
+    body=f"SELECT feature, {FAMILY_SQL} AS family, mean_abs FROM long"), dbl="mean_abs")
 register("c20_booking_value",
          lambda spark, sf: cleaned(spark, sf).groupBy("hotel").agg(
              F.sum(clean.booking_value(F.col("adr"), F.col("total_stay"))).alias("value")),

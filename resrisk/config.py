@@ -75,5 +75,13 @@ PSI_COUNT_EPS, PSI_SHARE_EPS = 1e-4, 1e-6
 
 # Model sizes. Early stopping usually ends a boosted fit well before its rounds.
 BOOST_ROUNDS, BOOST_DEPTH = 100, 5
+# The two challengers have the same capacity, the first family a smaller one.
+FAMILY_SIZES = {
+    "gradient_boosting": {"rounds": 100, "depth": 5, "step": 0.1},
+    "boosting_subsampled": {"rounds": 300, "depth": 7, "step": 0.05},
+    "boosting_small_steps": {"rounds": 300, "depth": 7, "step": 0.05},
+}
+# The family taken where too few rows allow no comparison.
+FALLBACK_FAMILY = "gradient_boosting"
 ADR_ROUNDS = 50
 BOOTSTRAP_REPLICATES = 2000

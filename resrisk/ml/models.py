@@ -80,24 +80,27 @@ BOOSTED = ["gradient_boosting", "boosting_subsampled", "boosting_small_steps"]
 BASELINES = ["logistic", "decision_tree", "naive_bayes", "random_forest"]
 
 
-def estimator(family: str, rounds: int = C.BOOST_ROUNDS, depth: int = C.BOOST_DEPTH,
-              seed: int = 42, early_stop: bool = False):
-    """Classifier of a family; the boosted ones differ in step, sampling and feature choice.
+def estimator(family: str, rounds: int | None = None, depth: int | None = None, seed: int = 42,
+              early_stop: bool = False, step: float | None = None):
+    """Classifier of a family, of its own size (`config.FAMILY_SIZES`) unless another is given.
 
-    All but naive Bayes weigh rows by `weight`. With `early_stop` a boosted one ends when the
-    error on the rows marked `validation` no longer falls.
+    The boosted families: all rows and features for each tree; a share of both; a share of the
+    features alone. All but naive Bayes weigh rows by `weight`. With `early_stop` a boosted one ends
+    when the error on the rows marked `validation` no longer falls.
     """
+    size = C.FAMILY_SIZES.get(family, {})
+    rounds = rounds or size.get("rounds", C.BOOST_ROUNDS)
+    depth = depth or size.get("depth", C.BOOST_DEPTH)
     base = {"labelCol": Y, "featuresCol": "features"}
     weighted = {**base, "weightCol": "weight"}
-    boosted = {"maxIter": rounds, "maxDepth": depth, "seed": seed, **weighted}
+    boosted = {"maxIter": rounds, "maxDepth": depth, "seed": seed, "stepSize": step or size.get("step", 0.1), **weighted}
     if early_stop:
         boosted |= {"validationIndicatorCol": "validation", "validationTol": 1e-3}
     return {
-        "gradient_boosting": lambda: GBTClassifier(stepSize=0.1, **boosted),
+        "gradient_boosting": lambda: GBTClassifier(**boosted),
         "boosting_subsampled": lambda: GBTClassifier(
-            stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted),
-        "boosting_small_steps": lambda: GBTClassifier(
-            stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted),
+            subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted),
+        "boosting_small_steps": lambda: GBTClassifier(featureSubsetStrategy="0.8", **boosted),
         "logistic": lambda: LogisticRegression(maxIter=50, regParam=1e-4, **weighted),
         "decision_tree": lambda: DecisionTreeClassifier(maxDepth=5, seed=seed, **weighted),
         "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **base),
@@ -142,7 +145,8 @@ def detached(model):
 
 def score(model: PipelineModel, df: DataFrame, nums: Sequence[str], name: str = P) -> DataFrame:
     out = model.transform(as_numbers(df, nums))
-    return out.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
+    return out.withColumn(name, vector_to_array("probability")[1]).select(
+        *[c for c in df.columns if c != name], name)
 
 
 def score_majority(train: DataFrame, df: DataFrame, name: str = P) -> DataFrame:
@@ -235,30 +239,6 @@ def ensemble_spread(df: DataFrame, scores: Sequence[str]) -> DataFrame:
     return df.withColumns({"spread": F.greatest(*cols) - F.least(*cols), "mean_score": mean})
 
 
-def select_champion(df: DataFrame, folds, parts, families: Sequence[str], cats, nums, **kw
-                    ) -> DataFrame:
-    """Families ranked by mean rolling PR-AUC, then ROC-AUC, then name; one fit per cell.
-
-    The driver holds one row per fold and family. Wins are the folds in which a family is best.
-    """
-    rows = []
-    for fold in folds:
-        train, test = parts(fold)
-        for family in families:
-            m = auc_metrics(score(fit_family(train, family, cats, nums, **kw), test, nums)).first()
-            rows.append((family, fold.name, m["roc_auc"], m["pr_auc"]))
-    spark = df.sparkSession
-    table = spark.createDataFrame(rows, "family string, fold string, roc_auc double, pr_auc double")
-    best = Window.partitionBy("fold").orderBy(F.desc("pr_auc"), F.desc("roc_auc"), "family")
-    table = table.withColumn("won", F.row_number().over(best) == 1)
-    means = table.groupBy("family").agg(
-        F.count(F.lit(1)).alias("folds"), F.avg("pr_auc").alias("pr_auc"),
-        F.avg("roc_auc").alias("roc_auc"), F.count_if("won").alias("wins"))
-    order = Window.orderBy(F.desc("pr_auc"), F.desc("roc_auc"), "family")
-    return means.withColumn("rank", F.row_number().over(order)).withColumn(
-        "gap_to_best", F.first("pr_auc").over(order) - F.col("pr_auc"))
-
-
 REGRESSORS = ["linear", "ridge", "lasso", "decision_tree", "random_forest", "gradient_boosting"]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +134,81 @@ def drift_report(baseline: DataFrame, live: DataFrame, numeric: Sequence[str],
         F.current_timestamp().alias("computed_at_utc")).orderBy(F.desc("psi"), "feature")
 
 
+@dataclass(frozen=True)
+class BaselineProfile:
+    """What a baseline leaves for later comparisons: bin edges and counts per bin, without its rows."""
+
+    edges: dict[str, list[float]]
+    counts: DataFrame
+    kinds: dict[str, str]
+    n_base: int
+
+
+def _bins(edges: dict[str, list[float]], numeric: Sequence[str], categorical: Sequence[str]) -> Column:
+    """All (feature, kind, bin) of a row; a number without a value has none."""
+    cells = [F.struct(F.lit("").alias("feature"), F.lit("rows").alias("kind"), F.lit("").alias("bin"))]
+    for c in numeric:
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        place = sum(((v >= F.lit(e)).cast("int") for e in edges.get(c, [])), F.lit(0))
+        cells.append(F.struct(F.lit(c).alias("feature"), F.lit("numeric").alias("kind"),
+                              F.when(v.isNotNull(), place.cast("string")).alias("bin")))
+    for c in categorical:
+        cells.append(F.struct(F.lit(c).alias("feature"), F.lit("categorical").alias("kind"),
+                              F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias("bin")))
+    return F.array(*cells)
+
+
+def _bin_counts(rows: DataFrame, edges: dict[str, list[float]], numeric: Sequence[str],
+                categorical: Sequence[str]) -> DataFrame:
+    each = rows.select(F.inline(_bins(edges, numeric, categorical)))
+    return each.filter(F.col("bin").isNotNull()).groupBy("feature", "kind", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def baseline_profile(base: DataFrame, numeric: Sequence[str], categorical: Sequence[str], path: str,
+                     bins: int = 10) -> BaselineProfile:
+    """The profile of a baseline, its counts stored under ``path``; edges are exact quantiles."""
+    rows = exact_quantiles(long_numeric(base.withColumn(LIVE, F.lit(0)), numeric), "value",
+                           [i / bins for i in range(1, bins)], ["feature"]).collect()
+    edges: dict[str, list[float]] = {}
+    for r in sorted(rows, key=lambda r: r["prob"]):
+        edges.setdefault(r["feature"], []).append(float(r["value"]))
+    _bin_counts(base, edges, numeric, categorical).write.mode("overwrite").parquet(path)
+    counts = base.sparkSession.read.schema("feature string, kind string, bin string, n bigint").parquet(path)
+    total = counts.filter("kind = 'rows'").agg(F.sum("n")).first()[0] or 0
+    kinds = {**{c: "numeric" for c in numeric}, **{c: "categorical" for c in categorical}}
+    return BaselineProfile(edges, counts.filter("kind != 'rows'"), kinds, total)
+
+
+def live_counts(rows: DataFrame, profile: BaselineProfile, numeric: Sequence[str], categorical: Sequence[str]
+                ) -> DataFrame:
+    """Counts per feature and bin of the rows so far; on a stream its state, one number per bin."""
+    return _bin_counts(rows, profile.edges, numeric, categorical)
+
+
+def report_from_counts(counts: DataFrame, profile: BaselineProfile, bins: int = 10) -> DataFrame:
+    """The drift report from counts per bin of both sides; no row of either is read.
+
+    Too few live rows for a report are reported as such by their number, ``n_live``.
+    """
+    spark = counts.sparkSession
+    live = counts.filter("kind != 'rows'").withColumnRenamed("n", "n_live")
+    both = profile.counts.withColumnRenamed("n", "n_base").join(live, ["feature", "kind", "bin"], "full").fillna(
+        0, subset=["n_base", "n_live"])
+    by = ["feature"]
+    numbers = both.filter("kind = 'numeric'").select("feature", F.col("bin").cast("bigint").alias("bin"), "n_base", "n_live")
+    texts = both.filter("kind = 'categorical'").select("feature", "n_base", "n_live")
+    totals = texts.groupBy(*by).agg(F.sum("n_base").alias("_b"), F.sum("n_live").alias("_l"))
+    share = lambda n, total: F.try_divide(F.col(n), F.col(total)) + F.lit(C.PSI_SHARE_EPS)
+    psi = _psi_from_bins(numbers, by, bins, None).unionByName(_psi_sum(texts.join(totals, by), by, share))
+    names = spark.createDataFrame(list(profile.kinds.items()), "feature string, kind string")
+    size = counts.filter("kind = 'rows'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    rows = names.join(psi, "feature", "left").fillna({"psi": 0.0})
+    return rows.select(
+        "feature", "kind", F.round("psi", 6).alias("psi"), psi_zone(F.col("psi")).alias("zone"),
+        size.select("n").scalar().alias("n_live"), F.lit(profile.n_base).cast("bigint").alias("n_baseline"),
+        F.current_timestamp().alias("computed_at_utc"))
+
+
 def against_baseline(df: DataFrame, batch: str, baseline: str, cols: Sequence[str]) -> DataFrame:
     """Pair every later batch with the baseline rows: baseline rows are repeated per batch.
 

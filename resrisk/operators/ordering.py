@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written_table
+
 SLICES = 65_536
 SLICES_PER_DAY = 8_192
 LAST_DAY = dt.date(9999, 12, 31)
@@ -101,8 +103,9 @@ def _running(df, order, values, levels, by, agg, combine) -> DataFrame:
     )
 
 
-#: Slices of a value's range: so many coarse ones, each cut into so many fine ones.
-COARSE = FINE = 32
+#: A slice of a value's range holds about so many distinct values; there are at most COARSE * FINE
+#: slices, looked up in two steps once there are more than COARSE.
+SLICE_VALUES, COARSE, FINE = 100_000, 32, 32
 
 
 def with_value_levels(counts: DataFrame, value: str, by: Sequence[str], **totals: Column
@@ -110,12 +113,18 @@ def with_value_levels(counts: DataFrame, value: str, by: Sequence[str], **totals
     """Add ``_slice``, the slice of a value among those of its group, and group totals.
 
     Slices lie between approximate quantiles of the rows of ``counts``, so that outliers do not
-    crowd the rest into one slice. Without groups the facts are a scalar and need no join.
+    crowd the rest into one slice. Their number follows the number of rows, which are written once:
+    the edges, the totals and the result all read them. Without groups the facts are a scalar and
+    need no join.
     """
     by = list(by)
-    cuts = [i / (COARSE * FINE) for i in range(COARSE * FINE)]
+    counts = written_table(counts, "value-levels")
+    wanted = 1 + counts.count() // SLICE_VALUES
+    fine = min(FINE, -(-wanted // COARSE))
+    slices = min(wanted, COARSE) * fine
+    cuts = [i / slices for i in range(slices)]
     facts = F.struct(
-        F.percentile_approx(F.col(value).cast("double"), cuts, 20_000).alias("edges"),
+        F.percentile_approx(F.col(value).cast("double"), cuts, 20 * slices).alias("edges"),
         *[c.alias(n) for n, c in totals.items()])
     if by:
         # A null-safe join, as a group may be null.
@@ -125,11 +134,15 @@ def with_value_levels(counts: DataFrame, value: str, by: Sequence[str], **totals
     else:
         known = counts.withColumn("_facts", counts.agg(facts).scalar())
     v, edges = F.col(value).cast("double"), F.col("_facts.edges")
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)),
-                                         lambda i: edges[i * FINE]), lambda e: e <= v))
-    fine = F.size(F.filter(F.slice(edges, (F.greatest(coarse, F.lit(1)) - 1) * FINE + 1, FINE),
-                           lambda e: e <= v))
-    return known.withColumn("_slice", F.coalesce(coarse * (FINE + 1) + fine, F.lit(0))).withColumns(
+    below = lambda some: F.size(F.filter(some, lambda e: e <= v))
+    if slices == 1:
+        place = F.lit(0)
+    elif fine == 1:
+        place = below(edges)
+    else:
+        rough = below(F.transform(F.sequence(F.lit(0), F.lit(slices // fine - 1)), lambda i: edges[i * fine]))
+        place = rough * (fine + 1) + below(F.slice(edges, (F.greatest(rough, F.lit(1)) - 1) * fine + 1, fine))
+    return known.withColumn("_slice", F.coalesce(place, F.lit(0))).withColumns(
         {n: F.col(f"_facts.{n}") for n in totals}).drop("_facts")
 
 

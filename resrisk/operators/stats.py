@@ -74,9 +74,19 @@ def chi2_independence(df: DataFrame, cols: Sequence[str], target: str = Y) -> Da
 
 def target_correlation(df: DataFrame, cols: Sequence[str], target: str = Y, k: int = 10
                        ) -> DataFrame:
-    """The k numeric columns most correlated with the target, from one aggregate."""
-    facts = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c)
-                     for c in cols])
+    """The k numeric columns most correlated with the target, from one aggregate.
+
+    A column that does not vary has no correlation.
+    """
+    y = F.col(target).cast("double")
+
+    def r(c: str) -> Column:
+        x = F.col(c).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+        return F.try_divide(F.covar_pop(x, y), spread).alias(c)
+
+    facts = df.agg(*[r(c) for c in cols])
     rows = facts.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in cols])))
     return rows.filter("r IS NOT NULL").orderBy(F.desc(F.abs("r")), "feature").limit(k)

@@ -26,7 +26,7 @@ def reached(p: Column, steps: int) -> Column:
     return F.greatest(F.least(b, F.lit(steps - 1)), F.lit(-1)).cast("int")
 
 
-def _sweep_totals(df: DataFrame, sums: dict[str, Column], steps: int, by: Sequence[str]
+def sweep_totals(df: DataFrame, sums: dict[str, Column], steps: int, by: Sequence[str]
                   ) -> DataFrame:
     """For each group and k: totals of rows reaching threshold k, and group totals ``all_*``."""
     by = list(by)
@@ -50,9 +50,13 @@ def _sweep_totals(df: DataFrame, sums: dict[str, Column], steps: int, by: Sequen
 
 def threshold_sweep(df: DataFrame, steps: int = 100, by: Sequence[str] = ()) -> DataFrame:
     ones = {"pos": (F.col(Y) == 1).cast("bigint"), "neg": (F.col(Y) == 0).cast("bigint")}
-    t = _sweep_totals(df, ones, steps, by)
+    return sweep_columns(sweep_totals(df, ones, steps, by), by)
+
+
+def sweep_columns(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Metrics of each grid threshold from ``sweep_totals`` of pos and neg."""
     tp, fp = F.col("pos"), F.col("neg")
-    return t.select(
+    return totals.select(
         *by, "threshold", ratio0(tp, tp + fp).alias("precision"),
         ratio0(tp, F.col("all_pos")).alias("recall"),
         ratio0(2 * tp, tp + fp + F.col("all_pos")).alias("f1"),
@@ -66,10 +70,14 @@ def cost_sweep(df: DataFrame, cost: str = "fn_cost", fp_cost: float = C.FP_COST,
         "pos": positive.cast("bigint"), "neg": (F.col(Y) == 0).cast("bigint"),
         "saved": F.when(positive, F.coalesce(F.col(cost), F.lit(0.0))).otherwise(0.0),
     }
-    t = _sweep_totals(df, sums, steps, by)
+    return cost_columns(sweep_totals(df, sums, steps, by), by, fp_cost)
+
+
+def cost_columns(totals: DataFrame, by: Sequence[str] = (), fp_cost: float = C.FP_COST) -> DataFrame:
+    """Money at each grid threshold from ``sweep_totals`` of pos, neg and saved."""
     fp = F.col("neg") * F.lit(float(fp_cost))
     fn = F.col("all_saved") - F.col("saved")
-    return t.select(
+    return totals.select(
         *by, "threshold", F.col("neg").alias("fp_count"),
         (F.col("all_pos") - F.col("pos")).alias("fn_count"), fp.alias("fp_cost_total"),
         fn.alias("fn_cost_total"), (fp + fn).alias("total_cost"),

@@ -161,6 +161,31 @@ def owning(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def lasting(fn: Callable) -> Callable:
+    """`fn` with tables that outlive the scope at work: what several queries share."""
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        token = _SCOPE.set(None)
+        try:
+            return fn(*args, **kwargs)
+        finally:
+            _SCOPE.reset(token)
+    return run
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def input_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and time of the last change under a path: what is kept for it is stale once they differ."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = files.listStatus(place)
+    return sum(p.getLen() for p in parts), max((p.getModificationTime() for p in parts), default=0)
+
+
 def release(result: DataFrame) -> None:
     """Remove the tables behind the result of an `owning` function, once it has been stored."""
     owner = _NEEDED.pop(result, None)

@@ -40,11 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)  # the lazy plan, not its rows
-def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One booking per line item, joined to its order, customer, nation and part."""
+def bookings(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """One booking per line item, joined to its order, customer, nation and part.
+
+    `lines` stands in for the line items: a part of them, or a stream.
+    """
     t = lambda name: table(spark, sf_dir, name)
     joined = (
-        t("lineitem")
+        (t("lineitem") if lines is None else lines)
         .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -91,10 +94,10 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cleaned(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Clean bookings.  The day comes from the source, so that date filters reach the scan;
     a date built from its parts would be evaluated once per comparison."""
-    return clean.clean_bookings(bookings(spark, sf_dir)).withColumnRenamed(
+    return clean.clean_bookings(bookings(spark, sf_dir, lines)).withColumnRenamed(
         "ship_day", "arrival_date")
 
 
@@ -116,8 +119,8 @@ def second_score(df: DataFrame, name: str = "rival_probability") -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return second_score(with_score(cleaned(spark, sf_dir)))
+def scored(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    return second_score(with_score(cleaned(spark, sf_dir, lines)))
 
 
 @lru_cache(maxsize=8)
@@ -183,9 +186,9 @@ def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring requests: bookings with the defects a caller might send."""
-    b = bookings(spark, sf_dir)
+def requests(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Scoring requests: bookings with the defects a caller might send; `lines` as in `bookings`."""
+    b = bookings(spark, sf_dir, lines)
     key, month = F.col("order_key"), F.col("arrival_date_month")
     return b.withColumns({
         "arrival_date": F.when(key % 2 == 0, F.col("ship_day")),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from ..sources.star_schema import TABLES
 
 
@@ -37,7 +38,17 @@ def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
 def batch_folder(out: str, prepare: Callable[[DataFrame], DataFrame]):
     """Writer that owns one folder per batch, so that a repeated batch replaces its rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        with scratch():
+            prepare(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return write
+
+
+def last_folder(out: str, prepare: Callable[[DataFrame], DataFrame]):
+    """Writer for complete mode: what the last batch gives replaces what earlier ones gave."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with scratch():
+            prepare(batch).write.mode("overwrite").parquet(out)
 
     return write
 
