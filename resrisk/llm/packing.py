@@ -16,7 +16,8 @@ from ..session import written_table
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The look-ahead matters only where white space of two or more characters meets a word.
 _PLAIN_SPLIT = SPLIT.replace(r"\s+(?!\S)|", "")
-_RUN = re.compile(r"\s\s\S")
+#: The library's white space is Unicode's, which lacks U+001C to U+001F.
+_RUN = re.compile(r"[^\S\x1c-\x1f]{2}(?:\S|[\x1c-\x1f])")
 
 
 @lru_cache(maxsize=4)

@@ -87,3 +87,17 @@ def test_digest_of_the_query(spark):
     docs = spark.createDataFrame([([1, 2, 70000],)], "ids array<int>")
     got = docs.select(registry.ids_crc32("ids").alias("c")).first()["c"]
     assert got == zlib.crc32(np.array([1, 2, 70000], "<u4").tobytes())
+
+
+def test_ids_equal_the_library_around_odd_white_space():
+    import random
+
+    from resrisk.llm.packing import _encoder
+    from resrisk.llm.registry import tokenizer_path
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    encode, rng = _encoder(tokenizer_path()), random.Random(4)
+    fixed = [" \u2003\x1c", " \xa0\x1c", "\n\n\x1d", "\x85\x85a", "  \x1f "]
+    for text in fixed + ["".join(rng.choice(" \n\x1c\x1d\x1f\x85\u2003\xa0\u200ba'1.") for _ in range(rng.randint(1, 9))) for _ in range(4000)]:
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
