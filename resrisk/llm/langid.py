@@ -70,9 +70,11 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, ambiguous); `und` without a letter or a learned language."""
-        if not text or not self.languages or not _LETTER.search(text):
+        # The pattern takes number-like signs too; a letter is what Unicode calls one.
+        if not text or not self.languages or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
             return "und", 0.0, True
-        p = np.exp(-self.losses(self.margins(gram_counts(text))))
+        losses = self.losses(self.margins(gram_counts(text)))
+        p = np.exp(losses.min() - losses)
         p /= p.sum()
         best = int(p.argmax())
         second = float(np.partition(p, -2)[-2]) if len(p) > 1 else 0.0

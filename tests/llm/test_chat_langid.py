@@ -79,3 +79,15 @@ def test_languages(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
     none = langid.fit(train.limit(0))
     assert none.predict("some text") == ("und", 0.0, True)
+
+
+def test_number_signs_are_no_letters_and_far_texts_have_a_score():
+    import numpy as np
+
+    model = langid.Model(["a", "b"], np.array([[1.0], [-1.0]]), np.zeros((1, langid.SLOTS)), np.ones(1), np.ones(1))
+    for text in ("½", "² ① 12", "", None, "٣"):
+        assert model.predict(text)[0] == "und"
+    assert model.predict("é")[0] in ("a", "b")
+    model.losses = lambda margins: np.array([5000.0, 5001.0])
+    lang, score, _ = model.predict("text")
+    assert lang == "a" and 0.7 < score < 0.74
