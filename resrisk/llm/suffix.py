@@ -111,7 +111,7 @@ def _blocks(doc: np.ndarray, place: np.ndarray, mark: np.ndarray, buckets: int)
     """
     if not len(doc):
         return
-    by = np.argsort(mark, kind="stable")
+    by = np.argsort(mark)
     m = mark[by]
     same = m[1:] == m[:-1]
     again = np.zeros(len(m), bool)
@@ -130,8 +130,9 @@ def _blocks(doc: np.ndarray, place: np.ndarray, mark: np.ndarray, buckets: int)
             own = (doc[at].view(np.uint64) * _M1 >> np.uint64(33)).astype(np.int64) % buckets
         else:
             own = bucket[at]
-        at = at[np.argsort(own, kind="stable")]
-        own = np.sort(own, kind="stable")
+        # Sixteen bits sort in linear time; equal buckets keep the order of document and place.
+        order = np.argsort(own.astype(np.uint16) if buckets <= 1 << 16 else own, kind="stable")
+        at, own = at[order], own[order]
         for part in np.split(at, np.flatnonzero(np.diff(own)) + 1):
             if not len(part):
                 continue
@@ -155,10 +156,14 @@ def _rows(table: pa.RecordBatch | pa.Table) -> Iterator[dict]:
         yield table.slice(i, 1).to_pylist()[0]
 
 
-def _read_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
+def _read_block(row: dict, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Document and place of the block's suffixes, or of those at some of its positions."""
     counts = _unplanes(row["counts"], np.uint32).astype(np.int64)
     places = _unsteps(_unplanes(row["places"], np.uint32), counts)
-    return np.repeat(_unplanes(row["docs"], np.int64), counts), places
+    docs = _unplanes(row["docs"], np.int64)
+    if at is None:
+        return np.repeat(docs, counts), places
+    return docs[np.searchsorted(np.cumsum(counts), at, side="right")], places[at]
 
 
 #: Places of repeated suffixes of the documents of one group.
@@ -207,28 +212,33 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa
     def close() -> int:
         if not asked:
             return 0
-        doc, place, mark = (np.concatenate(x) for x in zip(*asked))
+        marks = [np.frombuffer(row["marks"], np.uint64) for row in asked]
+        mark = np.concatenate(marks)
         by = np.argsort(mark)
         m = mark[by]
         same = m[1:] == m[:-1]
         tie = np.zeros(len(m), bool)
         tie[1:] = same
         tie[:-1] |= same
+        # Only blocks with a tie are read further.
+        hits, ends = np.sort(by[tie]), np.cumsum([len(x) for x in marks])
+        cuts = np.searchsorted(hits, ends)
+        for row, end, some, own in zip(asked, ends, np.split(hits, cuts[:-1]), marks):
+            if len(some):
+                found.append(_read_block(row, some - (end - len(own))))
         asked.clear()
-        found.append((doc[by[tie]], place[by[tie]]))
-        return len(found[-1][0])
+        return len(hits)
 
     for batch in batches:
         for row in _rows(batch):
             if row["bucket"] != now:
                 n += close()
                 now = row["bucket"]
-            doc, place = _read_block(row)
             if row["found"]:
-                found.append((doc, place))
-                n += len(doc)
+                found.append(_read_block(row))
+                n += len(found[-1][0])
             else:
-                asked.append((doc, place, np.frombuffer(row["marks"], np.uint64)))
+                asked.append(row)
             if n >= _HELD:
                 yield from _by_group(*(np.concatenate(x) for x in zip(*found)), groups)
                 found, n = [], 0
@@ -308,13 +318,16 @@ def _candidates(rows: DataFrame, length: int, buckets: int, turn: int, turns: in
                     repeated = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.int64)
                     n = max(len(text) - length + 1, 0)
                     # Starts from PERIOD - 1 before a repeated sample up to the sample itself.
-                    edge = np.zeros(len(text) + 2, np.int32)
-                    np.add.at(edge, np.maximum(repeated - PERIOD + 1, 0), 1)
-                    np.add.at(edge, repeated + 1, -1)
+                    size = len(text) + 2
+                    edge = np.bincount(np.maximum(repeated - PERIOD + 1, 0), minlength=size) - np.bincount(
+                        repeated + 1, minlength=size)
                     starts = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-                    marks = _fingerprints(_sums(text), starts, length)
-                    own = marks % np.uint64(turns) == turn
-                    yield doc, starts[own], marks[own]
+                    # Equal strings begin alike, so their first bytes tell the turn: only the
+                    # fingerprints of this turn are computed.
+                    first = _letters()[text[starts]] + (_letters()[text[starts + 1]] << np.uint64(1)) + (
+                        _letters()[text[starts + 2]] << np.uint64(2))
+                    starts = starts[(first >> np.uint64(40)) % np.uint64(turns) == turn]
+                    yield doc, starts, _fingerprints(_sums(text), starts, length)
         yield from _collected(found(), buckets)
 
     return rows.select("_doc", "_bytes", "_places").mapInArrow(candidates, _BLOCK)
