@@ -123,6 +123,10 @@ def _marks(bag: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
     return tuple(int(_mix(x ^ k).sum(dtype=np.uint64).astype(np.int64)) for k in (_M1, _M2))
 
 
+#: Shingles that a task signs at once: a dozen arrays of that length are at work.
+_UNITS = 200_000
+
+
 def _signed(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
     """Key, two marks of the bag, the band hashes and 16 bits of each slot of every document."""
     kind = docs.schema[key].dataType.simpleString()
@@ -139,7 +143,7 @@ def _signed(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: i
                     got.append(bag)
                     units += len(bag[0])
                     at += 1
-                    if units > 1_000_000:
+                    if units > _UNITS:
                         break
                 n = len(got)
                 doc = np.repeat(np.arange(n), [len(b[0]) for b in got])
@@ -225,8 +229,8 @@ def _verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", linked("_x", "_y").alias("linked"))
 
 
-#: Members of one side of a block of comparisons.
-_BLOCK = 1024
+#: Members of one side of a block of comparisons, and the bytes of their bags, about.
+_BLOCK, _BLOCK_BYTES = 1024, 8 << 20
 
 
 def _rest_of_buckets(now: DataFrame, facts: DataFrame, least: float, bands: int, rows_each: int) -> DataFrame:
@@ -240,12 +244,15 @@ def _rest_of_buckets(now: DataFrame, facts: DataFrame, least: float, bands: int,
     the classes one link does. `facts` has cid, bag and _slots.
     """
     slots_each = bands * rows_each
-    sizes = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n"))
+    weighed = now.join(facts.select("cid", F.octet_length("bag").alias("_bytes")), "cid")
+    sizes = weighed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_bytes"))
     heads = sizes.groupBy("bucket").agg(
-        F.max(F.struct("_n", "component")).alias("_main"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_parts"))
+        F.max(F.struct("_n", "component", "_bytes")).alias("_main"), F.sum("_n").alias("_all"),
+        F.sum("_bytes").alias("_all_bytes"), F.count(F.lit(1)).alias("_parts"))
+    parts = lambda n, size: F.greatest(F.ceil(n / _BLOCK), F.ceil(size / _BLOCK_BYTES))
     heads = heads.filter("_parts > 1").select(
-        "bucket", F.col("_main.component").alias("_main"), F.ceil(F.col("_all") / _BLOCK).alias("_wide"),
-        F.ceil((F.col("_all") - F.col("_main._n")) / _BLOCK).alias("_high"))
+        "bucket", F.col("_main.component").alias("_main"), parts(F.col("_all"), F.col("_all_bytes")).alias("_wide"),
+        parts(F.col("_all") - F.col("_main._n"), F.col("_all_bytes") - F.col("_main._bytes")).alias("_high"))
     rows = now.join(heads, "bucket").join(facts, "cid")
     deal = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
