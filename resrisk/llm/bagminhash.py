@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop_written, written_table
 from .graph import components
+from .names import shielded
 
 _GOLDEN, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BASE = 0xD6E8FEB86659FD93
@@ -167,12 +167,12 @@ def _signed(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: i
 
 def _with_marks(docs: DataFrame, text: str, size: int) -> DataFrame:
     """`docs` with the two marks of each text's bag."""
-    @F.pandas_udf("_k1 bigint, _k2 bigint")
-    def marks(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("_k1 bigint, _k2 bigint")
+    def marks(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = _Hasher()
         for part in texts:
-            found = [_marks(b) for b in _bags(pa.array(part, pa.string(), from_pandas=True), size, hasher)]
-            yield pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["_k1", "_k2"])
+            found = np.array([_marks(b) for b in _bags(part, size, hasher)], np.int64).reshape(-1, 2)
+            yield pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["_k1", "_k2"])
 
     return docs.withColumn("_both", marks(F.col(text))).select(
         *[F.col(f"`{c}`") for c in docs.columns], "_both._k1", "_both._k2")
@@ -220,9 +220,9 @@ def _bag_table(wanted: DataFrame, docs: DataFrame, key: str, text: str, size: in
 
 def _verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """`pairs` (a, b) with `linked`: whether the bags overlap by `least` or more."""
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(_load(a), _load(b)) >= least for a, b in zip(x, y)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([similarity(_load(a.as_py()), _load(b.as_py())) >= least for a, b in zip(x, y)], pa.bool_())
 
     both = pairs.join(bags.select(F.col("cid").alias("a"), F.col("bag").alias("_x")), "a")
     both = both.join(bags.select(F.col("cid").alias("b"), F.col("bag").alias("_y")), "b")
@@ -356,6 +356,7 @@ def _classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     return signed.select(key, "_k1", "_k2"), nodes
 
 
+@shielded
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One row per document: key, `class_id`, `class_size` and `kept`.
 
@@ -384,6 +385,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
     return signed.join(nodes, ["_k1", "_k2"]).select(key, "class_id", "class_size", kept.alias("kept"))
 
 
+@shielded
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One document of each class, with the columns of `docs`; rows that repeat its key and bag go too.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import shielded
+
 #: Bits of one bitmap of Spark's bitmap functions.
 _BITS = 32_768
 
@@ -51,6 +53,7 @@ def _grouped(docs: DataFrame, text: str = "text", key: str = "doc_id",
         *[c for c in docs.columns if c not in out], *out, "_full")
 
 
+@shielded
 def group_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """Every row of `docs` with `keep_id`, `group_size` and `kept`.
 
@@ -68,6 +71,7 @@ def group_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
     return _grouped(docs, text, key, **options).drop("_full")
 
 
+@shielded
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One row of each group of equal texts, with the columns of `docs`.
 

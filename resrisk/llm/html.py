@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import written_table
 from .urls import host_of
+from .names import shielded
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -233,6 +234,7 @@ def _main_text(page: str, low: set[str], varied: bool) -> str:
     return " ".join(text for _, text in kept)
 
 
+@shielded
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", least: float = 0.2, least_pages: int = 8) -> DataFrame:
     """Every row of `pages` with `text`, the page's main text.
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import shielded
+
 #: A larger rate is the sum of several independent Poisson counts, each of a rate up to this.
 PART = 64.0
 
@@ -51,6 +53,7 @@ def target_rates(docs: DataFrame, weights: Mapping[str, float], default: float =
     return rated.select("_source", "_rows", "_rate", "_parts", steps["all"].alias("_at_most"))
 
 
+@shielded
 def poisson_mix(docs: DataFrame, weights: Mapping[str, float], default: float = 1.0,
                 source: str = "source", key: str = "doc_id", epochs: float = 1.0,
                 seed: int = 0) -> DataFrame:

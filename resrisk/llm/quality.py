@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written_table
+from .names import shielded
 
 #: ASCII white space and capitals, listed one by one: such classes are table look-ups in Java.
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -228,6 +229,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     return learn_rules(rows, key=key, **options)
 
 
+@shielded
 def judge_quality(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """Every row of `docs` with its statistics, `base_failed`, `rule_no` and `kept`.
 
@@ -242,6 +244,7 @@ def judge_quality(docs: DataFrame, rules: list[Rule], text: str = "text") -> Dat
                            ).withColumn("kept", ~F.col("base_failed") & F.col("rule_no").isNull())
 
 
+@shielded
 def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of `docs` that `judge_quality` keeps, with the columns of `docs`."""
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_of"))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,9 +88,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def ids_crc32(ids):
     """CRC-32 of the ids as unsigned little-endian 32-bit numbers."""
-    @F.pandas_udf("bigint")
-    def crc(lists: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in lists], dtype="int64")
+    @F.arrow_udf("bigint")
+    def crc(lists: pa.Array) -> pa.Array:
+        return pa.array([zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in lists], pa.int64())
     return crc(ids)
 
 

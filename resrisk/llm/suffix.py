@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_written, written_table
+from .names import shielded
 
 #: A perfect difference set: each non-zero difference mod 133 occurs once. Fixed values.
 PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
@@ -357,6 +358,7 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return written_table(rows.withColumn("_doc", F.monotonically_increasing_id()), "llm-suffix-rows")
 
 
+@shielded
 def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id",
                    bucket_size: int = 300_000, group_bytes: int = 8 << 20, turns: int = 2) -> DataFrame:
     """Every row of `docs` with `spans` (array of begin, end) and `kept_bytes` (binary).

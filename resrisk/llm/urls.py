@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written_table
+from .names import shielded
 
 Rule = tuple[str, str]  #: (host and path prefix such as "org/", "allow" or "block")
 
@@ -99,6 +100,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
     return rank.groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))
 
 
+@shielded
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None,
                url: str = "url", html: str = "html", ratio: float = 1.0,
                least: float = 1e-9, **options) -> DataFrame:
