@@ -7,8 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written_table
 from .names import shielded
 
+#: Up to this many sources (a rate has less than 2 KB) are sent to all tasks; rows of more are
+#: dealt by source and salt.
+SENT_SOURCES, SALTS = 8192, 64
+
 #: A larger rate is the sum of several independent Poisson counts, each of a rate up to this.
 PART = 64.0
 
@@ -56,7 +61,7 @@ def target_rates(docs: DataFrame, weights: Mapping[str, float], default: float =
 @shielded
 def poisson_mix(docs: DataFrame, weights: Mapping[str, float], default: float = 1.0,
                 source: str = "source", key: str = "doc_id", epochs: float = 1.0,
-                seed: int = 0) -> DataFrame:
+                seed: int = 0, sent: int = SENT_SOURCES) -> DataFrame:
     """The rows of `docs`, each as often as its Poisson count says, globally shuffled.
 
     A row's count inverts the Poisson distribution of its source's rate at a uniform number that
@@ -64,6 +69,9 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], default: float =
     `copy` (0, 1, ...) and `shuffle_key`. Rows are dealt over the shuffle partitions by the hash
     `shuffle_key` and ordered by it within each, which is a random order of the whole mix.
 
+    The rates are counted: those of up to 8,192 sources are sent to all tasks and no row moves for
+    them; beyond, rows meet them in a join by source and one of 64 salts.
+
     Rows with the same key get the same count each; a null key is hashed as the word null. Input
     columns called `copy` or `shuffle_key` are replaced. An empty table gives an empty one. The
     text is never looked at and may be null or of any length.
@@ -72,8 +80,15 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], default: float =
     kept = [c for c in docs.columns if c not in out]
     rates = target_rates(docs, weights, default, source, epochs).select(
         F.col("_source").alias("_of"), "_parts", "_at_most")
+    rates = written_table(rates, "llm-mix-rates")
     rows = docs.drop(*out).withColumn("_name", F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    rows = rows.join(rates, F.col(source).eqNullSafe(F.col("_of")), "inner")
+    same = F.col(source).eqNullSafe(F.col("_of"))
+    if rates.count() <= sent:
+        rows = rows.join(F.broadcast(rates), same)
+    else:
+        salted = rates.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_name"), F.lit(SALTS)).cast("int"))
+        rows = rows.join(salted, same & (F.col("_salt") == F.col("_salt_of")))
     draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: F.size(F.filter(
         "_at_most", lambda c: c <= uniform(F.lit(str(seed)), F.col("_name"), j.cast("string")))))
     rows = rows.withColumn("_count", F.aggregate(draws, F.lit(0), lambda a, x: a + x))

@@ -208,6 +208,8 @@ def test_counts_and_order(spark):
     assert all({r["copy"] for r in got if r["doc_id"] == i} == set(range(want[i])) for i in (1, 5, 7))
     assert abs(len(got) - 1800) < 4 * 1800 ** 0.5
     assert [r["shuffle_key"] for r in mixed.coalesce(1).limit(5).collect()] != []
+    salted = mixing.poisson_mix(docs, weights, epochs=2.0, seed=9, sent=0)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, got))
     assert mixing.poisson_mix(docs, weights, seed=9).count() != 0
     assert mixing.poisson_mix(docs.limit(0), weights).count() == 0
     with pytest.raises(ValueError):
