@@ -49,7 +49,39 @@ def test_examples_read_back(spark):
         ends = [i for i, (_, r, _) in enumerate(own) if r == "assistant"]
         for r, i in zip(texts, ends):
             assert chat.read_turns(r["text"]) == [(role, x) for _, role, x in own[:i + 1]]
-    assert chat.prefix_examples(turns.limit(0)).count() == 0
+    empty = chat.prefix_examples(turns.limit(0))
+    assert empty.count() == chat.read_back(empty).count() == chat.render_examples(empty).count() == 0
+
+
+def test_a_hot_conversation_is_cut_into_runs(spark):
+    turns = spark.range(3000).selectExpr(
+        "if(id < 2000, NULL, id % 7) AS conv_id", "id AS turn", "if(id % 3 = 0, 'assistant', 'user') AS role",
+        "concat('t', id, ' <|') AS text")
+    examples = chat.prefix_examples(turns)
+    hot = examples.filter("conv_id IS NULL").collect()
+    # Two thirds of the rows lie in about two thirds of the parts.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len({r["place"] >> 40 for r in hot}) > parts / 2
+    # Stored anew and in another order, the prefixes are the same.
+    mixed = examples.repartition(5, "piece")
+    ordered = sorted(mixed.filter("conv_id IS NULL").collect(), key=lambda r: r["place"])
+    text = "".join(r["piece"] for r in ordered)
+    assert [r["turn"] for r in ordered] == list(range(2000))
+    replies = [r for r in ordered if r["example"] is not None]
+    assert [r["example"] for r in replies] == list(range(667))
+    assert all(chat.unescape(text[r["loss_start"]:r["loss_end"]]) == f"t{3 * i} <|" for i, r in enumerate(replies))
+    got = {r["conv_id"]: r for r in chat.read_back(mixed).collect()}
+    said = "".join(f"{'assistant' if i % 3 == 0 else 'user'}\nt{i} <|\n" for i in range(2000))
+    assert got[None]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert got[None]["formatted_chars"] == len(text) and got[None]["n_examples"] == 667
+
+
+def test_very_long_turns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q" * 9_000_000), (1, 1, "assistant", "<|" * 3_000_000), (1, 2, "assistant", "")],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    got = chat.read_back(chat.prefix_examples(turns)).collect()
+    assert [(r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in got] == [
+        (3, 6_000_000, hashlib.sha256(("<|" * 3_000_000).encode()).hexdigest())]
 
 
 @pytest.mark.parametrize("classes", [2, 4, 6, 9, 40])
