@@ -175,6 +175,15 @@ def test_groups_of_copies_that_share_a_key(spark):
         assert got == [("7", "t"), ("7", "u"), ("7", "x"), ("None", ""), ("None", "v"), ("None", "w")]
 
 
+def test_large_group_of_copies_meets_its_result_in_parts(spark):
+    rows = [(i, "copied " * 60) for i in range(500)] + [(1000 + i, f"text {i % 30}") for i in range(60)] + [(None, "copied " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = exact.group_copies(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r["keep_id"], r["group_size"]) for r in got} == {(499, 501)} | {(1030 + i, 2) for i in range(30)}
+    assert sorted(r["doc_id"] for r in exact.drop_copies(docs).collect()) == [499, *range(1030, 1060)]
+
+
 # --- mixing -------------------------------------------------------------------------------
 
 def poisson(u, rate):
