@@ -102,8 +102,10 @@ def psi_uniform(long: DataFrame, by: Sequence[str] = ("feature",), bins: int = 1
 
 def psi_categorical(long: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
     """PSI over the union of values of both tables."""
-    by = list(by)
-    counts = _counts(long, by, "value")
+    return _psi_of_values(_counts(long, by, "value"), list(by))
+
+
+def _psi_of_values(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     totals = counts.groupBy(*by).agg(F.sum("n_base").alias("_b"), F.sum("n_live").alias("_l"))
     share = lambda n, total: F.try_divide(F.col(n), F.col(total)) + F.lit(C.PSI_SHARE_EPS)
     return _psi_sum(counts.join(totals, by), by, share)
@@ -209,26 +211,51 @@ def report_from_counts(counts: DataFrame, profile: BaselineProfile, bins: int =
         F.current_timestamp().alias("computed_at_utc"))
 
 
-def against_baseline(df: DataFrame, batch: str, baseline: str, cols: Sequence[str]) -> DataFrame:
-    """Pair every later batch with the baseline rows: baseline rows are repeated per batch.
+def later_batches(df: DataFrame, batch: str, baseline: str) -> list[str]:
+    """Labels of all batches but the baseline; there are few."""
+    return sorted(r[0] for r in df.select(batch).distinct().collect() if r[0] not in (None, baseline))
 
-    The number of batches is small and known from the labels.
-    """
-    labels = [r[0] for r in df.select(batch).distinct().collect()]
-    later = F.array(*[F.lit(b) for b in sorted(labels) if b != baseline])
-    base = df.filter(F.col(batch) == baseline).select(
-        *cols, F.explode(later).alias(batch), F.lit(0).alias(LIVE))
-    return base.unionByName(
-        df.filter(F.col(batch) != baseline).select(*cols, batch, F.lit(1).alias(LIVE)))
+
+def _against(counts: DataFrame, key: str, batch: str, baseline: str, later: Sequence[str]) -> DataFrame:
+    """Counts of each later batch beside the baseline's, from one aggregate; no baseline row is repeated."""
+    of = lambda b: F.coalesce(F.sum(F.when(F.col(batch) == b, F.col("n"))), F.lit(0))
+    labels = list(later) or [baseline]
+    wide = counts.groupBy("feature", key).agg(
+        of(baseline).alias("n_base"), *[of(b).alias(f"n{i}") for i, b in enumerate(labels)])
+    each = F.array(*[F.struct(F.lit(b).alias(batch), F.col(f"n{i}").alias("n_live"))
+                     for i, b in enumerate(labels)])
+    long = wide.select("feature", key, "n_base", F.inline(each))
+    return long.filter(((F.col("n_base") > 0) | (F.col("n_live") > 0)) & (F.col(batch) != baseline))
+
+
+def batch_psi_numeric(df: DataFrame, numeric: Sequence[str], batch: str, baseline: str, later: Sequence[str],
+                      bins: int = 10) -> DataFrame:
+    """`psi_numeric` of every later batch; rows are counted and the edges found once for all batches."""
+    counts = written_table(long_numeric(df, numeric, (batch,)).groupBy("feature", batch, "value").agg(
+        F.count(F.lit(1)).alias("n")), "value-counts")
+    edges = exact_quantiles(
+        counts.filter(F.col(batch) == baseline), "value", [i / bins for i in range(1, bins)], ["feature"], "n"
+    ).groupBy("feature").agg(F.collect_list("value").alias("edges"))
+    place = F.coalesce(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.lit(0)).cast("bigint")
+    binned = counts.join(edges, "feature", "left").withColumn("bin", place).groupBy("feature", batch, "bin").agg(
+        F.sum("n").alias("n"))
+    return _psi_from_bins(_against(binned, "bin", batch, baseline, later), ["feature", batch], bins, None)
+
+
+def batch_psi_categorical(df: DataFrame, categorical: Sequence[str], batch: str, baseline: str,
+                          later: Sequence[str]) -> DataFrame:
+    """`psi_categorical` of every later batch, from one count of the rows."""
+    counts = long_categorical(df, categorical, (batch,)).groupBy("feature", batch, "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    return _psi_of_values(_against(counts, "value", batch, baseline, later), ["feature", batch])
 
 
 def batch_drift(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                 batch: str = "batch", baseline: str = "baseline") -> DataFrame:
     """PSI and status per feature and batch."""
-    paired = against_baseline(df, batch, baseline, [*numeric, *categorical])
-    keep, by = (LIVE, batch), ["feature", batch]
-    num = psi_numeric(long_numeric(paired, numeric, keep), by)
-    cat = psi_categorical(long_categorical(paired, categorical, keep), by)
+    later = later_batches(df, batch, baseline)
+    num = batch_psi_numeric(df, numeric, batch, baseline, later)
+    cat = batch_psi_categorical(df, categorical, batch, baseline, later)
     rows = num.withColumn("kind", F.lit("numeric")).unionByName(
         cat.withColumn("kind", F.lit("categorical")))
     return rows.withColumn("status", psi_status(F.col("psi")))
@@ -282,9 +309,7 @@ def batch_kpis(df: DataFrame, t: float, batch: str = "batch") -> DataFrame:
 def rag_dashboard(df: DataFrame, t: float, batch: str = "batch", baseline: str = "baseline"
                   ) -> DataFrame:
     """Five signals per batch with value, status and action."""
-    psi = psi_numeric(long_numeric(
-        against_baseline(df, batch, baseline, [P, "adr"]), [P, "adr"], (LIVE, batch)),
-        ["feature", batch])
+    psi = batch_psi_numeric(df, [P, "adr"], batch, baseline, later_batches(df, batch, baseline))
     # Signal names, limits and actions of the dashboard.
     signal = F.when(F.col("feature") == P, "Score PSI").otherwise("ADR feature PSI")
     psi_rows = psi.select(

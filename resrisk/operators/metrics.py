@@ -92,7 +92,12 @@ def threshold_metrics(df: DataFrame, t: float, by: Sequence[str] = (), y: str =
 
     The confusion counts at ``t`` are sums over score groups too, so rows are read once.
     """
-    totals = descending_totals(score_groups(df, by, y, p), by)
+    return metrics_of_groups(score_groups(df, by, y, p), t, by)
+
+
+def metrics_of_groups(groups: DataFrame, t: float, by: Sequence[str] = ()) -> DataFrame:
+    """`threshold_metrics` of rows already counted by `score_groups`."""
+    totals = descending_totals(groups, by)
     hit = F.col("score") >= t
     cell = lambda keep, c: F.coalesce(F.sum(F.when(keep, F.col(c))), F.lit(0))
     out = totals.groupBy(*by).agg(

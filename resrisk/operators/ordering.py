@@ -103,9 +103,9 @@ def _running(df, order, values, levels, by, agg, combine) -> DataFrame:
     )
 
 
-#: A slice of a value's range holds about so many distinct values; there are at most COARSE * FINE
-#: slices, looked up in two steps once there are more than COARSE.
-SLICE_VALUES, COARSE, FINE = 100_000, 32, 32
+#: A slice of a value's range holds about SLICE_VALUES distinct values until there are EVEN_SLICES,
+#: then up to LARGE_SLICE until there are MOST_SLICES.
+SLICE_VALUES, EVEN_SLICES, LARGE_SLICE, MOST_SLICES = 180, 128, 100_000, 1024
 
 
 def with_value_levels(counts: DataFrame, value: str, by: Sequence[str], **totals: Column
@@ -119,10 +119,13 @@ def with_value_levels(counts: DataFrame, value: str, by: Sequence[str], **totals
     """
     by = list(by)
     counts = written_table(counts, "value-levels")
-    wanted = 1 + counts.count() // SLICE_VALUES
-    fine = min(FINE, -(-wanted // COARSE))
-    slices = min(wanted, COARSE) * fine
-    cuts = [i / slices for i in range(slices)]
+    # A power of two, so that a row finds its slice by halving.
+    n = counts.count()
+    # Two at least: a slice that is a literal would leave later joins on it without a key.
+    wanted = max(n // LARGE_SLICE, min(EVEN_SLICES, n // SLICE_VALUES), 2)
+    halvings = (min(MOST_SLICES, wanted) - 1).bit_length()
+    slices = 1 << halvings
+    cuts = [i / slices for i in range(1, slices)]
     facts = F.struct(
         F.percentile_approx(F.col(value).cast("double"), cuts, 20 * slices).alias("edges"),
         *[c.alias(n) for n, c in totals.items()])
@@ -133,17 +136,12 @@ def with_value_levels(counts: DataFrame, value: str, by: Sequence[str], **totals
             *[f"_by_{c}" for c in by])
     else:
         known = counts.withColumn("_facts", counts.agg(facts).scalar())
-    v, edges = F.col(value).cast("double"), F.col("_facts.edges")
-    below = lambda some: F.size(F.filter(some, lambda e: e <= v))
-    if slices == 1:
-        place = F.lit(0)
-    elif fine == 1:
-        place = below(edges)
-    else:
-        rough = below(F.transform(F.sequence(F.lit(0), F.lit(slices // fine - 1)), lambda i: edges[i * fine]))
-        place = rough * (fine + 1) + below(F.slice(edges, (F.greatest(rough, F.lit(1)) - 1) * fine + 1, fine))
-    return known.withColumn("_slice", F.coalesce(place, F.lit(0))).withColumns(
-        {n: F.col(f"_facts.{n}") for n in totals}).drop("_facts")
+    edges, place = F.col("_facts.edges"), F.col("_slice")
+    known = known.withColumn("_slice", F.lit(0))
+    for step in (1 << i for i in reversed(range(halvings))):
+        reached = edges[place + (step - 1)] <= F.col(value).cast("double")
+        known = known.withColumn("_slice", F.when(reached, place + step).otherwise(place))
+    return known.withColumns({n: F.col(f"_facts.{n}") for n in totals}).drop("_facts")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -325,7 +323,11 @@ def unpivot(df: DataFrame, dims: Sequence[str], keep: Sequence[Column | str] = (
 def top_categories(df: DataFrame, dims: dict[str, int]) -> DataFrame:
     """Most frequent values of each dimension; ties go to the smaller value."""
     long = unpivot(df, list(dims)).fillna({"segment": "UNKNOWN"})
-    counts = long.groupBy("dimension", "segment").agg(F.count(F.lit(1)).alias("n_rows"))
+    return most_frequent(long.groupBy("dimension", "segment").agg(F.count(F.lit(1)).alias("n_rows")), dims)
+
+
+def most_frequent(counts: DataFrame, dims: dict[str, int]) -> DataFrame:
+    """`top_categories` of rows already counted as ``n_rows``."""
     w = Window.partitionBy("dimension").orderBy(F.desc("n_rows"), "segment")
     limit = F.create_map(*[F.lit(x) for d, n in dims.items() for x in (d, n)])
     return (

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .metrics import P, Y, auc_metrics, confusion_aggs, prf_columns, threshold_metrics
-from .ordering import quantile_columns, top_categories, unpivot
+from .metrics import P, Y, auc_metrics, confusion_aggs, metrics_of_groups, prf_columns
+from .ordering import most_frequent, quantile_columns, unpivot
 
 METRICS = ["roc_auc", "pr_auc", "precision", "recall", "f1", "balanced_accuracy"]
 
@@ -18,13 +18,20 @@ def segment_metrics(df: DataFrame, t: float, dims: dict[str, int] = C.SEGMENT_DI
                     min_rows: int = C.SEGMENT_MIN_ROWS, policy: str = "max_f1") -> DataFrame:
     """Metrics of the most frequent values of each dimension; small or one-class ones are skipped.
 
-    All segments come from one long table, so a hundred segments cost as much as one.
+    All segments come from one long table, so a hundred segments cost as much as one. Its rows are
+    grouped by segment and score once; sizes, the most frequent values and the curves follow from
+    these groups.
     """
     keys = ["dimension", "segment"]
-    top = top_categories(df, dims).select(*keys)
     long = unpivot(df, list(dims), [Y, P]).fillna({"segment": "UNKNOWN"})
-    # Only the rows of the wanted segments go on to the score curves.
-    stats = threshold_metrics(long.join(top, keys, "left_semi"), t, keys)
+    groups = long.groupBy(*keys, F.col(P).alias("score")).agg(
+        F.count_if(F.col(Y) == 1).alias("pos"), F.count_if(F.col(Y) == 0).alias("neg"),
+        F.count(F.lit(1)).alias("_n"))
+    sizes = groups.groupBy(*keys).agg(F.sum("_n").alias("n_rows"))
+    top = most_frequent(sizes, dims).select(*keys)
+    # Only the groups of the wanted segments go on to the score curves.
+    wanted = groups.filter(F.col("score").isNotNull()).drop("_n").join(top, keys, "left_semi")
+    stats = metrics_of_groups(wanted, t, keys)
     total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     positive = F.col("tp") + F.col("fn")
     mixed = (positive > 0) & (positive < total)

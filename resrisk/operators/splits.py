@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -161,44 +161,68 @@ def digest_share(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
+#: Rows of a slice of a shuffled order that are ordered to find a cut in it.
+SLICE_ROWS = 100_000
+
+
+def _any_of(conditions: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _finer(wanted: dict[tuple[str, str], list[int]], counts: Sequence[tuple[str, str, int]]
+           ) -> tuple[dict[tuple[str, str], list[int]], int]:
+    """The finer slices that hold the wanted places, with the places inside them, and the largest size.
+
+    ``counts`` has (class, slice, rows) in order; each slice lies inside a wanted one.
+    """
+    found: dict[tuple[str, str], list[int]] = {}
+    largest, seen, last = 0, 0, None
+    for c, s, n in counts:
+        outer = (c, s[:-3])
+        seen = seen if outer == last else 0
+        last = outer
+        spots = [i - seen for i in wanted.get(outer, []) if seen <= i < seen + n]
+        if spots:
+            found[(c, s)], largest = spots, max(largest, n)
+        seen += n
+    return found, largest
+
+
 def stratified_folds(df: DataFrame, keys: Sequence[str], k: int, seed: int = 42,
                      label: str = Y) -> DataFrame:
     """k folds with the class ratio of the whole, in seeded random order.
 
-    Each class is cut into k near-equal runs of its shuffled order.  The cuts come from counts
-    over slices of the digest, whose values are uniform whatever the keys are.
+    Each class is cut into k near-equal runs of its shuffled order. The cuts come from counts per
+    slice, which are the first digits of a digest whose values are uniform whatever the keys are. A
+    slice that holds a cut and more than ``SLICE_ROWS`` rows is sliced again, so the rows that are
+    ordered to find the cuts stay few at any size of input.
     """
     df = df.withColumns({"_digest": shuffle_key(keys, seed), "_class": F.col(label).cast("string")})
-    slices = F.floor(digest_share(F.col("_digest")) * 4096)
+    wanted: dict[tuple[str, str], list[int]] = {}
+    digits, inside, largest = 0, df.select("_class", "_digest"), None
+    while largest is None or (largest > SLICE_ROWS and digits < 30):
+        digits += 3
+        counts = inside.groupBy("_class", F.substring("_digest", 1, digits).alias("s")).agg(
+            F.count(F.lit(1)).alias("n")).orderBy("_class", "s").collect()
+        if digits == 3:
+            sizes: dict[str, int] = {}
+            for r in counts:
+                sizes[r["_class"]] = sizes.get(r["_class"], 0) + r["n"]
+            wanted = {(c, ""): bucket_starts(n, k)[1:] for c, n in sizes.items()}
+        wanted, largest = _finer(wanted, [tuple(r) for r in counts])
+        inside = df.select("_class", "_digest").filter(_any_of([
+            (F.col("_class") == c) & F.startswith("_digest", F.lit(s)) for c, s in wanted]))
+    w = Window.partitionBy("_class", "_slice").orderBy("_digest")
+    ranked = inside.withColumn("_slice", F.substring("_digest", 1, digits)).withColumn(
+        "_i", F.row_number().over(w) - 1)
     cuts: dict[str, list[str]] = {}
-    counts = df.groupBy("_class", slices.alias("s")).agg(
-        F.count(F.lit(1)).alias("n")).orderBy("_class", "s").collect()
-    wanted: dict[tuple[str, int], list[int]] = {}
-    for c in {r["_class"] for r in counts}:
-        rows = [r for r in counts if r["_class"] == c]
-        starts, seen = bucket_starts(sum(r["n"] for r in rows), k)[1:], 0
-        for r in rows:
-            inside = [s - seen for s in starts if seen <= s < seen + r["n"]]
-            if inside:
-                wanted[(c, r["s"])] = inside
-            seen += r["n"]
-    from pyspark.sql import Window
-
-    pick = [(F.col("_class") == c) & (F.col("_slice") == s) for (c, s) in wanted]
-    if pick:
-        condition = pick[0]
-        for p in pick[1:]:
-            condition = condition | p
-        slim = df.select("_class", "_digest", slices.alias("_slice")).filter(condition)
-        w = Window.partitionBy("_class", "_slice").orderBy("_digest")
-        ranked = slim.withColumn("_i", F.row_number().over(w) - 1)
-        spots = [(c, s, i) for (c, s), offs in wanted.items() for i in offs]
-        hit = None
-        for c, s, i in spots:
-            one = (F.col("_class") == c) & (F.col("_slice") == s) & (F.col("_i") == i)
-            hit = one if hit is None else hit | one
-        for r in ranked.filter(hit).select("_class", "_digest").collect():
-            cuts.setdefault(r["_class"], []).append(r["_digest"])
+    for r in ranked.filter(_any_of([
+            (F.col("_class") == c) & (F.col("_slice") == s) & F.col("_i").isin(spots)
+            for (c, s), spots in wanted.items()])).select("_class", "_digest").collect():
+        cuts.setdefault(r["_class"], []).append(r["_digest"])
     fold = F.lit(1)
     for c, digests in cuts.items():
         for d in digests:

@@ -26,14 +26,20 @@ def reached(p: Column, steps: int) -> Column:
     return F.greatest(F.least(b, F.lit(steps - 1)), F.lit(-1)).cast("int")
 
 
-def sweep_totals(df: DataFrame, sums: dict[str, Column], steps: int, by: Sequence[str]
-                  ) -> DataFrame:
-    """For each group and k: totals of rows reaching threshold k, and group totals ``all_*``."""
+def sweep_totals(df: DataFrame, sums: dict[str, Column], steps: int, by: Sequence[str],
+                 keep_unscored: bool = False) -> DataFrame:
+    """For each group and k: totals of rows reaching threshold k, and group totals ``all_*``.
+
+    Rows without a score count nowhere, or with ``keep_unscored`` in the total of ``n`` alone.
+    """
     by = list(by)
-    counts = (
-        df.filter(F.col(P).isNotNull()).groupBy(*by, reached(F.col(P), steps).alias("k"))
-        .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    )
+    scored = F.col(P).isNotNull()
+    if keep_unscored:
+        rows, k = df, F.coalesce(reached(F.col(P), steps), F.lit(-1))
+        sums = {n: c if n == "n" else F.when(scored, c).otherwise(F.lit(0)) for n, c in sums.items()}
+    else:
+        rows, k = df.filter(scored), reached(F.col(P), steps)
+    counts = rows.groupBy(*by, k.alias("k")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     # A zero row per group and grid point, so that thresholds without rows appear as well.
     groups = counts.select(*by).distinct() if by else counts.limit(1).select(F.lit(1).alias("_one"))
     zeros = groups.select(
@@ -210,22 +216,33 @@ def segment_thresholds(df: DataFrame, segments: DataFrame, global_f1: float, glo
                        steps: int = 100, cost: str = "revenue_at_risk") -> DataFrame:
     """Own best thresholds of each (dimension, segment) against the global ones.
 
-    ``segments`` is the long table with one row per booking and dimension; all segments are swept
-    by the same aggregate.
+    ``segments`` is the long table with one row per booking and dimension. All segments are swept
+    by one aggregate, whose few rows per segment give size, best thresholds and global values.
     """
     by = ["dimension", "segment"]
-    size = segments.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    f1, price = threshold_sweep(segments, steps, by), cost_sweep(segments, cost, fp_cost, steps, by)
-    at = lambda sweep, t, c, name: sweep.filter(F.col("threshold") == F.lit(t)).select(
-        *by, F.col(c).alias(name))
-    best_f1 = select_max_f1(f1, by).select(
-        *by, F.col("threshold").alias("thr_max_f1"), F.col("f1").alias("best_f1"))
-    best_cost = select_min_cost(price, by).select(
-        *by, F.col("threshold").alias("thr_cost"), F.col("total_cost").alias("best_cost"))
+    positive = F.col(Y) == 1
+    totals = sweep_totals(segments, {
+        "pos": positive.cast("bigint"), "neg": (F.col(Y) == 0).cast("bigint"),
+        "saved": F.when(positive, F.coalesce(F.col(cost), F.lit(0.0))).otherwise(0.0),
+        "scored": F.lit(1).cast("bigint"), "n": F.lit(1).cast("bigint"),
+    }, steps, by, keep_unscored=True)
+    t, tp, fp = F.col("threshold"), F.col("pos"), F.col("neg")
+    f1 = ratio0(2 * tp, tp + fp + F.col("all_pos"))
+    price = fp * F.lit(float(fp_cost)) + (F.col("all_saved") - F.col("saved"))
+    # Ties go to the smaller threshold.
+    best = lambda c, sign: F.min_by(F.struct("threshold", c), F.struct(sign * F.col(c), t))
+    at = lambda c, wanted: F.max(F.when(t == F.lit(wanted), F.col(c)))
+    rows = totals.withColumns({"_f1": f1, "_price": price}).groupBy(*by).agg(
+        F.max("all_n").alias("n"), best("_f1", -1).alias("_best"), best("_price", 1).alias("_cheap"),
+        at("_f1", global_f1).alias("f1_at_global"), at("_price", global_cost).alias("cost_at_global"),
+        F.max("all_scored").alias("_scored"))
+    # A segment without a score, or a global threshold off the grid, has nothing to compare.
+    comparable = (F.col("_scored") > 0) & F.col("f1_at_global").isNotNull() & F.col("cost_at_global").isNotNull()
     return (
-        size.filter(F.col("n") >= min_rows).join(best_f1, by).join(best_cost, by)
-        .join(at(f1, global_f1, "f1", "f1_at_global"), by)
-        .join(at(price, global_cost, "total_cost", "cost_at_global"), by)
+        rows.filter((F.col("n") >= min_rows) & comparable)
+        .select(*by, "n", F.col("_best.threshold").alias("thr_max_f1"), F.col("_best._f1").alias("best_f1"),
+                F.col("_cheap.threshold").alias("thr_cost"), F.col("_cheap._price").alias("best_cost"),
+                "f1_at_global", "cost_at_global")
         .withColumns({
             "delta_f1_threshold": F.col("thr_max_f1") - global_f1,
             "delta_cost_threshold": F.col("thr_cost") - global_cost,

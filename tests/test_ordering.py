@@ -63,6 +63,19 @@ def test_stratified_folds_keep_the_ratio(days):
     assert {r["count"] for r in rows} == {300} and len(rows) == 10
 
 
+def test_stratified_folds_slice_again_where_a_slice_is_large(days, monkeypatch):
+    folds = lambda: sorted(map(tuple, splits.stratified_folds(days, ["id"], 5).select("id", "fold").collect()))
+    want = folds()
+    monkeypatch.setattr(splits, "SLICE_ROWS", 1)
+    assert folds() == want
+
+
+def test_finer_slices_hold_the_places_of_the_coarser():
+    found, largest = splits._finer({("1", "0a3"): [4, 5], ("1", "fff"): [0]}, [
+        ("1", "0a3000", 5), ("1", "0a3fff", 9), ("1", "fff111", 2)])
+    assert found == {("1", "0a3000"): [4], ("1", "0a3fff"): [0], ("1", "fff111"): [0]} and largest == 9
+
+
 def test_quantiles_equal_numpy(spark):
     rng = random.Random(4)
     values = [rng.choice([5.0, 5.0, rng.gauss(0, 100)]) for _ in range(999)]

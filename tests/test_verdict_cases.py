@@ -113,3 +113,26 @@ def test_lazy_results_keep_their_tables(spark):
         inner = read(5)
         path = inner.inputFiles()[0]
     assert not prediction_log.log_exists(spark, path)
+
+
+def test_batches_against_one_baseline_equal_a_comparison_each(spark):
+    rows = [(["baseline", "b1", "b2"][i % 3], float(i * 37 % 101), None if i % 5 == 0 else float(i % 11), "xyz"[i % (2 + i % 2)])
+            for i in range(600)] + [("b2", None, None, "new")]
+    df = spark.createDataFrame(rows, "batch string, u double, v double, c string")
+    got = {(r["batch"], r["feature"]): r["psi"] for r in drift.batch_drift(df, ["u", "v"], ["c"]).collect()}
+    for b in ("b1", "b2"):
+        both = drift.mark_live(df.filter("batch = 'baseline'"), df.filter(F.col("batch") == b))
+        each = drift.psi_numeric(drift.long_numeric(both, ["u", "v"])).unionByName(
+            drift.psi_categorical(drift.long_categorical(both, ["c"])))
+        for r in each.collect():
+            assert got[(b, r["feature"])] == pytest.approx(r["psi"], abs=1e-12)
+    assert len(got) == 6 and got[("b2", "c")] > 0
+    assert drift.batch_drift(df.filter("batch = 'baseline'"), ["u"], ["c"]).count() == 0
+
+
+def test_rank_of_a_value_that_most_rows_share(spark):
+    values = [2.0] * 900 + [1.0, 3.0, 3.0] + [None] * 5
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double").repartition(5)
+    got = {r["v"]: r["rank_unit"] for r in stats.rank_normalise(df, "v").collect()}
+    want = {1.0: 0.0, 2.0: (451.5 - 1) / (902.5 - 1), 3.0: 1.0, None: 0.5}
+    assert got == pytest.approx(want) and stats.rank_normalise(df, "v").count() == len(values)
