@@ -83,6 +83,12 @@ def _unplanes(b: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(b, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; `np.unique` may hash them first, which takes several times as long."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def _steps(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Places as differences within each document; `counts` are the places of each document."""
     d = np.diff(places, prepend=places[:1])
@@ -191,7 +197,7 @@ def _by_group(doc: np.ndarray, place: np.ndarray, groups: int) -> Iterator[pa.Re
     order = np.argsort(g, kind="stable")
     rank = np.empty(len(u), np.uint64)
     rank[order] = np.arange(len(u), dtype=np.uint64)
-    both = np.unique(rank[inverse] << np.uint64(32) | place.astype(np.uint64))
+    both = _distinct(rank[inverse] << np.uint64(32) | place.astype(np.uint64))
     at, place = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
     counts = np.bincount(at, minlength=len(u))
     steps, ends = _steps(place, counts), np.cumsum(counts)
@@ -256,7 +262,7 @@ def _places_of(blocks: pa.Table) -> dict[int, np.ndarray]:
         places = _unsteps(_unplanes(row["places"], np.uint32), counts)
         for d, p in zip(_unplanes(row["docs"], np.int64).tolist(), np.split(places, np.cumsum(counts)[:-1])):
             parts.setdefault(d, []).append(p)
-    return {d: np.unique(np.concatenate(p)) for d, p in parts.items()}
+    return {d: _distinct(np.concatenate(p)) for d, p in parts.items()}
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from resrisk.llm import suffix
 
@@ -84,3 +85,22 @@ def test_repeated_keys_nulls_and_empty(spark):
     assert suffix.repeated_spans(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         suffix.repeated_spans(docs, length=100)
+
+
+def test_places_are_sorted_and_not_hashed(monkeypatch):
+    """np.unique without an inverse hashes its values, which was most of the time of op6."""
+    rnd = np.random.default_rng(5)
+    doc, place = rnd.integers(-9, 9, 5000), rnd.integers(0, 400, 5000)
+    want = {d: np.unique(place[doc == d]).tolist() for d in np.unique(doc).tolist()}
+    unique = np.unique
+
+    def sorting_only(a, return_inverse=False):
+        assert return_inverse
+        return unique(a, return_inverse=True)
+
+    monkeypatch.setattr(np, "unique", sorting_only)
+    blocks = [b for _ in range(2) for b in suffix._by_group(doc, place, 3)]
+    got = suffix._places_of(pa.Table.from_batches(blocks))
+    assert {d: p.tolist() for d, p in got.items()} == want
+    assert list(suffix._by_group(doc[:1], place[:1], 3))[0].num_rows == 1
+    assert suffix._distinct(place[:0]).tolist() == []
