@@ -124,25 +124,91 @@ def prefix_examples(turns: DataFrame, conversation: str = "conv_id", turn: str =
         F.when(said, start + F.col("head") + F.col("reply")).alias("loss_end"))
 
 
-def render_examples(examples: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """Conversation, example, full text, loss_start and loss_end of each example.
+#: Code points of a conversation whose examples one task puts together, after all text before them.
+_STRETCH = 1 << 20
+
+
+def whole_texts(examples: DataFrame, conversation: str = "conv_id", stretch: int = _STRETCH) -> DataFrame:
+    """Conversation, example, text, loss_start, loss_end and last: each example with all turns before it.
+
+    Takes the rows of `prefix_examples` in any order. `last` marks the row that holds a whole
+    conversation; where that does not end in a reply, it is one row more, without example and span.
 
-    Takes the rows of `prefix_examples` in any order. Each turn goes to the examples of its
-    conversation from its own on, so the texts grow with the square of a conversation's turns;
-    one example is put together at a time.
+    Conversations are cut by `start` into stretches. A stretch's task gets the text of each stretch
+    before it as one row, then its own turns in order, and puts the texts together as it reads.
+    So the texts, which grow with the square of a conversation, are neither shuffled nor written,
+    and what is held are two texts and a batch. A text is one string: at most 2 GB.
     """
-    last = examples.groupBy(F.col(conversation).alias("_of")).agg(F.count("example").alias("_n"))
-    said = Window.partitionBy(conversation).orderBy("place")
-    rows = examples.withColumn("_before", F.count("example").over(said.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(last, F.col(conversation).eqNullSafe(F.col("_of"))).filter(F.col("_before") < F.col("_n"))
-    copies = rows.select(conversation, "place", "piece", "loss_start", "loss_end", F.col("example").alias("_own"),
-                         F.explode(F.sequence("_before", F.col("_n") - 1)).alias("_to"))
-    own = F.col("_own") == F.col("_to")
+    kind = examples.schema[conversation].dataType.simpleString()
+    rows = examples.select(
+        F.col(conversation).alias("_c"), F.floor(F.col("start") / stretch).cast("long").alias("_at"), F.lit(True).alias("_own"),
+        "place", "piece", "example", "loss_start", "loss_end")
+    # At most one conversation for `stretch` code points of the table has more than one stretch.
+    long = rows.filter("_at > 0").groupBy(F.col("_c").alias("_of")).agg(F.max("_at").alias("_end"))
+    rows = rows.join(F.broadcast(long), F.col("_c").eqNullSafe(F.col("_of")), "left").drop("_of")
     pieces = F.array_sort(F.collect_list(F.struct("place", "piece")))
-    return copies.groupBy(conversation, "_to").agg(
-        F.concat_ws("", F.transform(pieces, lambda p: p["piece"])).alias("text"),
-        F.max(F.when(own, F.col("loss_start"))).alias("loss_start"),
-        F.max(F.when(own, F.col("loss_end"))).alias("loss_end")).withColumnRenamed("_to", "example")
+    done = rows.filter("_at < _end").groupBy("_c", F.col("_at").alias("_no")).agg(
+        F.concat_ws("", F.transform(pieces, lambda p: p["piece"])).alias("piece"))
+    later = rows.filter("_end IS NOT NULL AND _at > 0").select(F.col("_c").alias("_of"), "_at", "_end").distinct()
+    before = done.join(later, F.col("_c").eqNullSafe(F.col("_of")) & (F.col("_no") < F.col("_at"))).select(
+        "_c", "_at", F.lit(False).alias("_own"), F.col("_no").alias("place"), "piece", "_end")
+    both = rows.unionByName(before, allowMissingColumns=True)
+    both = both.repartition("_c", "_at").sortWithinPartitions("_c", "_at", "_own", "place")
+    both = both.select("_c", "_at", "_own", "piece", "example", "loss_start", "loss_end", "_end")
+    names = [conversation, "example", "text", "loss_start", "loss_end", "last"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, reply, tail, ends, of = None, [], None, False, False, None
+        out: list[tuple] = []
+        held = 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out), [of, *types])], names=names)
+
+        def close() -> list[tuple]:
+            """The stretch's last example, and the whole conversation if turns follow it."""
+            rest = [] if reply is None else [(*reply, ends and not tail)]
+            if now and ends and tail:
+                rest.append((now[0], None, "".join(parts), None, None, True))
+            return rest
+
+        for batch in batches:
+            of = batch.schema.types[0]
+            for i in range(batch.num_rows):
+                c, at, own, piece, example, begin, end, last = (column[i].as_py() for column in batch.columns)
+                if now != (c, at):
+                    more = close()
+                    now, parts, reply, tail, ends = (c, at), [], None, False, last is None or at == last
+                else:
+                    more = []
+                parts.append(piece)
+                if own:
+                    tail = example is None
+                if example is not None:
+                    if reply is not None:
+                        more.append((*reply, False))
+                    parts = ["".join(parts)]
+                    reply = (c, example, parts[0], begin, end)
+                for row in more:
+                    out.append(row)
+                    held += len(row[2])
+                if held > _CHUNK:
+                    yield batch_of()
+                    out, held = [], 0
+            if out:
+                yield batch_of()
+                out, held = [], 0
+        out = close()
+        if out:
+            yield batch_of()
+
+    return both.mapInArrow(put_together, f"`{conversation}` {kind}, example bigint, text string, loss_start bigint, loss_end bigint, last boolean")
+
+
+def render_examples(examples: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """Conversation, example, full text, loss_start and loss_end of each example, by `whole_texts`."""
+    return whole_texts(examples, conversation).filter("example IS NOT NULL").drop("last")
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
@@ -161,24 +227,46 @@ DIGEST = ("n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 s
 def read_back(examples: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """Per conversation what its examples say: turns, trainable text, and sizes.
 
-    Takes the rows of `prefix_examples` in any order. A digest is sequential by its nature: the
-    rows of a conversation pass one task in order of `place`, one at a time, and none is kept.
+    Takes the rows of `prefix_examples` in any order. Each example is put together with all turns
+    before it, and its reply is read from that text, under the mask; the turns are read from the
+    text that holds the whole conversation. The replies of a conversation then pass one task in
+    order, one at a time, as a digest is sequential by its nature.
     """
     kind = examples.schema[conversation].dataType.simpleString()
     names = [conversation, *[c.split()[0] for c in DIGEST.split(", ")]]
-    rows = examples.select(F.col(conversation).alias("_c"), "place", "start", "piece", "loss_start", "loss_end")
-    rows = rows.repartition("_c").sortWithinPartitions("_c", "place")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                c, example, text, begin, end, last = (column[i].as_py() for column in batch.columns)
+                reply = None if example is None else unescape(text[begin:end])
+                n, said = (0, sha256()) if last else (None, None)
+                for role, turn in read_turns(text) if last else ():
+                    n += 1
+                    said.update(f"{role}\n{turn}\n".encode())
+                out.append((c, example, reply, n, said and said.hexdigest(), len(text) if last else None))
+            if out:
+                yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out), [batch.schema.types[0], *types])],
+                                      names=["_c", "example", "reply", "turns", "said", "chars"])
+
+    rows = whole_texts(examples, conversation).mapInArrow(
+        read, f"_c {kind}, example bigint, reply string, turns bigint, said string, chars bigint")
+    rows = rows.repartition("_c").sortWithinPartitions("_c", "example")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
         state, kind = None, None
         out: list[list] = []
 
         def close() -> None:
             if state:
-                out.append([state["c"], state["turns"], state["said"].hexdigest(), state["loss"], state["under"].hexdigest(),
-                            state["chars"], state["examples"]])
+                out.append([state["c"], *state["whole"][:2], state["loss"], state["under"].hexdigest(),
+                            state["whole"][2], state["examples"]])
 
         def batch_of() -> pa.RecordBatch:
             types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
@@ -187,20 +275,16 @@ def read_back(examples: DataFrame, conversation: str = "conv_id") -> DataFrame:
         for batch in batches:
             kind = batch.schema.types[0]
             for i in range(batch.num_rows):
-                c, _, start, piece, begin, end = (column[i].as_py() for column in batch.columns)
+                c, example, reply, *whole = (column[i].as_py() for column in batch.columns)
                 if state is None or c != state["c"]:
                     close()
-                    state = {"c": c, "turns": 0, "said": sha256(), "loss": 0, "under": sha256(), "chars": 0, "examples": 0}
-                for role, text in read_turns(piece):
-                    state["turns"] += 1
-                    state["said"].update(f"{role}\n{text}\n".encode())
-                if begin is not None:
+                    state = {"c": c, "whole": None, "loss": 0, "under": sha256(), "examples": 0}
+                if whole[0] is not None:
+                    state["whole"] = whole
+                if example is not None:
                     state["examples"] += 1
-                    # The span counts from the start of the conversation, the piece from its own.
-                    text = unescape(piece[begin - start:end - start])
-                    state["loss"] += len(text)
-                    state["under"].update(text.encode())
-                state["chars"] = start + len(piece)
+                    state["loss"] += len(reply)
+                    state["under"].update(reply.encode())
             if out:
                 yield batch_of()
                 out.clear()
@@ -208,4 +292,4 @@ def read_back(examples: DataFrame, conversation: str = "conv_id") -> DataFrame:
         if out:
             yield batch_of()
 
-    return rows.mapInArrow(read, f"`{conversation}` {kind}, {DIGEST}")
+    return rows.mapInArrow(digest, f"`{conversation}` {kind}, {DIGEST}")

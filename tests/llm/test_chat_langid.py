@@ -76,6 +76,37 @@ def test_a_hot_conversation_is_cut_into_runs(spark):
     assert got[None]["formatted_chars"] == len(text) and got[None]["n_examples"] == 667
 
 
+@pytest.mark.parametrize("stretch", [7, 60, 1 << 20])
+def test_whole_texts_of_cut_conversations(spark, stretch):
+    turns = spark.createDataFrame([x[:4] for x in rows()], "conv_id bigint, turn bigint, role string, text string")
+    found = chat.whole_texts(chat.prefix_examples(turns).repartition(3, "piece"), stretch=stretch).collect()
+    for c in {x[0] for x in rows()}:
+        own = sorted(((t, r or "", x or "") for k, t, r, x, _ in rows() if k == c))
+        want = [[(r, x) for _, r, x in own[:i + 1]] for i, (_, r, _) in enumerate(own) if r == "assistant"]
+        of = sorted((r for r in found if r["conv_id"] == c), key=lambda r: len(r["text"]))
+        assert [chat.read_turns(r["text"]) for r in of if r["example"] is not None] == want
+        assert [r["last"] for r in of] == [False] * (len(of) - 1) + [True]
+        assert chat.read_turns(of[-1]["text"]) == [(r, x) for _, r, x in own]
+        assert all(r["loss_start"] is None for r in of if r["example"] is None)
+
+
+def test_digests_are_read_from_whole_examples(spark, monkeypatch):
+    """The registered query reads texts that hold all turns before a reply, not the turns one by one."""
+    made, texts = [], chat.whole_texts
+
+    def kept(*args, **kw):
+        made.append(texts(*args, **kw))
+        return made[-1]
+
+    monkeypatch.setattr(chat, "whole_texts", kept)
+    turns = spark.createDataFrame([(1, t, ("user", "assistant")[t % 2], f"t{t}") for t in range(7)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    got = chat.read_back(chat.prefix_examples(turns)).first()
+    assert sorted(len(chat.read_turns(r["text"])) for r in made[0].collect()) == [2, 4, 6, 7]
+    assert got["n_turns"] == 7 and got["n_examples"] == 3
+    assert got["loss_sha256"] == hashlib.sha256(b"t1t3t5").hexdigest()
+
+
 def test_very_long_turns(spark):
     turns = spark.createDataFrame([(1, 0, "user", "q" * 9_000_000), (1, 1, "assistant", "<|" * 3_000_000), (1, 2, "assistant", "")],
                                   "conv_id bigint, turn bigint, role string, text string")
