@@ -288,6 +288,10 @@ def _rest_of_buckets(now: DataFrame, facts: DataFrame, least: float, bands: int,
     return outside.unionByName(others).groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
+#: Bucket members that a file holds, about, where a table is of a few numbers a row.
+_FILE_ROWS = 1_000_000
+
+
 def _classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8,
              bands: int = 25, rows: int = 5, leader_rounds: int = 3, leaders: int = 4) -> tuple[DataFrame, DataFrame]:
     """The documents (key and marks of the bag), and `class_id`, `class_size` and `best` of each bag.
@@ -297,13 +301,16 @@ def _classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     """
     spark = docs.sparkSession
     signed = written_table(_signed(docs, key, text, shingle, bands, rows), "llm-near-signed")
+    # A file costs about as much as thousands of its rows, and tables of members, pairs and links
+    # would else have one for each partition of the shuffle before, a dozen times over.
+    files = 1 + signed.count() * bands // _FILE_ROWS
     classes = signed.groupBy("_k1", "_k2").agg(
         F.min(key).alias("_first"), F.count(F.lit(1)).alias("_copies"), F.first("_bands").alias("_bands"),
         F.first("_slots").alias("_slots"))
     classes = written_table(classes.withColumn("cid", F.monotonically_increasing_id()), "llm-near-nodes")
     banded = classes.select("cid", F.posexplode("_bands").alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    members = written_table(banded.join(full, "bucket"), "llm-near-members")
+    members = written_table(banded.join(full, "bucket"), "llm-near-members", files)
     wanted = classes.join(members.select("cid").distinct(), "cid").select("cid", "_k1", "_k2", "_first")
     bags = written_table(_bag_table(wanted, docs, key, text, shingle), "llm-near-bags")
     tested = spark.createDataFrame([], "a bigint, b bigint, linked boolean")
@@ -326,23 +333,23 @@ def _classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
         else:
             facts = bags.join(classes.select("cid", "_slots"), "cid")
             checked = _rest_of_buckets(now, facts, least, bands, rows).withColumn("linked", F.lit(True))
-            checked = written_table(checked, "llm-near-checked")
+            checked = written_table(checked, "llm-near-checked", files)
             if not checked.isEmpty():
                 links = tested.filter("linked").unionByName(checked)
-                found = written_table(components(links), "llm-near-components")
+                found = written_table(components(links, files), "llm-near-components", files)
             break
         new = pairs.distinct()
         if turn:
             new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = written_table(new, "llm-near-pairs")
+        new = written_table(new, "llm-near-pairs", files)
         if new.isEmpty():
             if turn and turn < leader_rounds:
                 continue
             break
-        checked = written_table(_verify(new, bags, least), "llm-near-checked")
+        checked = written_table(_verify(new, bags, least), "llm-near-checked", files)
         tested = tested.unionByName(checked)
         if not checked.filter("linked").isEmpty():
-            found = written_table(components(tested.filter("linked")), "llm-near-components")
+            found = written_table(components(tested.filter("linked"), files), "llm-near-components", files)
     nodes = classes.select("_k1", "_k2", "_first", "_copies", "cid")
     if found is not None:
         nodes = nodes.join(found, F.col("cid") == F.col("node"), "left").withColumn("cid", F.coalesce("component", "cid"))
@@ -351,7 +358,7 @@ def _classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     sizes = nodes.groupBy("cid").agg(first.alias("_best"), F.sum("_copies").alias("class_size"))
     best = (F.col("_k1") == F.col("_best.k1")) & (F.col("_k2") == F.col("_best.k2"))
     nodes = nodes.join(sizes, "cid").select("_k1", "_k2", F.col("_best.id").alias("class_id"), "class_size", best.alias("best"))
-    nodes = written_table(nodes, "llm-near-classes")
+    nodes = written_table(nodes, "llm-near-classes", files)
     drop_written(spark, members, bags, prefix="llm-near-pairs")
     return signed.select(key, "_k1", "_k2"), nodes
 

@@ -17,16 +17,16 @@ def _are_stars(links: DataFrame) -> bool:
     return nodes.filter((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("led") == 1))).isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component) of every node in `links` (a, b); the component is its smallest node.
 
     The steps keep the number of links at most as it was and end when all links are stars around
     their components' smallest nodes. Each is a grouped minimum and a join on the node, so no
-    component meets in one task.
+    component meets in one task. What a step leaves is written in `files` files, if given.
     """
     links = links.select("a", "b").filter("a != b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = written_table(links, "llm-links")
+    links = written_table(links, "llm-links", files)
     while not _are_stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -36,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        after = written_table(small, "llm-links")
+        after = written_table(small, "llm-links", files)
         drop_written(links.sparkSession, links)
         links = after
     roots = links.select(F.col("v").alias("node")).distinct()

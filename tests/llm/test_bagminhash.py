@@ -119,3 +119,30 @@ def test_bags_of_one_key_do_not_meet(spark):
     join = next(line for line in plan.splitlines() if "Join" in line)
     assert "_k1" in join and "_k2" in join
     assert bags.count() == 200
+
+
+def test_narrow_tables_have_few_files(spark, monkeypatch):
+    """Tables of members, pairs and links were written in a file for each partition of the shuffle before."""
+    from resrisk.llm import graph
+
+    files, real = {}, bagminhash.written_table
+
+    def noted(df, label, *more):
+        table = real(df, label, *more)
+        files.setdefault(label, []).append(len(table.inputFiles()))
+        return table
+
+    for module in (bagminhash, graph):
+        monkeypatch.setattr(module, "written_table", noted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("16", "false")):
+        spark.conf.set(k, v)
+    try:
+        docs = spark.createDataFrame(list(enumerate(made(3))), "doc_id bigint, text string")
+        assert bagminhash.near_classes(docs).filter("kept").count() < docs.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    narrow = ("llm-near-members", "llm-near-pairs", "llm-near-checked", "llm-links", "llm-near-components", "llm-near-classes")
+    assert set(narrow) <= set(files)
+    assert all(n <= 1 for label in narrow for n in files[label]), files
