@@ -32,8 +32,7 @@ def _scores(model, rows, name="probability"):
     return np.array([r["_p"] for r in out.orderBy("id").select("_p").collect()])
 
 
-@pytest.mark.parametrize("alone", [N, 0])
-@pytest.mark.parametrize("early", [False, True])
+@pytest.mark.parametrize("early, alone", [(False, N), (True, 0)])
 def test_boosting_gives_what_spark_gives(rows, alone, early):
     est = models.estimator("gradient_boosting", rounds=6, depth=3, early_stop=early)
     want, got = est.fit(rows), trees.fit_trees(est, rows, 500, alone)
@@ -75,13 +74,24 @@ def test_a_fit_of_more_rows_than_a_task_takes_keeps_few_bytes_a_row(spark, rows,
     assert sum(h[1] for h in held) == N and sum(h[0] for h in held) <= N * (2 * len(layout.packs) + 1)
     # Beyond one task's least rows a fit goes this way, before it all went to Spark ML.
     asked = []
-    monkeypatch.setattr(trees, "fit_trees", lambda est, rows, *a: asked.append(type(est).__name__))
+    monkeypatch.setattr(trees, "fit_trees", lambda est, rows, *a, **kw: asked.append(type(est).__name__))
     models.fit_rows(models.estimator("gradient_boosting"), rows, 20_001)
     models.fit_rows(models.estimator("random_forest"), rows, 20_001)
     assert asked == ["GBTClassifier", "RandomForestClassifier"]
     assert models.fit_rows(models.estimator("decision_tree"), rows, N).numFeatures == 8 and len(asked) == 2
 
 
+def test_bins_are_sought_in_the_rows_that_spark_draws(spark):
+    df = spark.range(24_000).select("id", F.rand(4).alias("a"), F.rand(5).alias("b"), (F.rand(6) * 3).cast("int").cast("string").alias("c"))
+    df = df.withColumn("is_canceled", (F.col("a") + F.col("b") * F.col("c").cast("int") > 1).cast("int")).withColumn("weight", F.lit(1.0))
+    ready = Pipeline(stages=models.preprocessor(["c"], ["a", "b"])).fit(df)
+    rows = df.select("a", "b", "c", "is_canceled", "weight")
+    est = models.estimator("decision_tree")
+    want = est.fit(ready.transform(models.even_parts(rows, 24_000)))
+    got = models.fit_rows(est, rows, 24_000, ready.transform)
+    assert got.toDebugString.split("\n", 1)[1] == want.toDebugString.split("\n", 1)[1]
+
+
 def test_fewer_fits_at_once_where_each_holds_much():
     assert fits.at_once(10_000) == fits.at_once(400_000) == fits.FITS_AT_ONCE
     assert fits.at_once(25_000_000) == 1 < fits.at_once(25_000_000 // 4, fits.TREE_BYTES) <= fits.FITS_AT_ONCE
